@@ -1,6 +1,6 @@
 """WARC archives: writing pages as records, and reading them back by boundary-chain verification.
 
-Writing: Spark's text writer makes each file, with the end of a record as its line end. Of pages with equal payloads the
+Writing: Spark's text writer makes each file, with the end of a record as its line end, and compresses it whole. Of pages with equal payloads the
 one with the largest id is a response, and the others are revisits of it that keep the payload's length and digest but
 not the payload.
 
@@ -21,6 +21,7 @@ table gives no archives and no rows. Other columns are ignored. An archive whose
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -76,7 +77,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_mb: int = 1
     # Files are cut by their number of records, so that the mean record keeps them at about archive_mb.
     mean = rows.agg(F.avg(F.col("payload_bytes")).alias("mean")).first().mean or 0.0
     records = max(1, int(archive_mb * (1 << 20) / (mean + 600)))
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", records).text(path)
+    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +94,10 @@ def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.array(begin, np.int64), np.array(after, np.int64)
 
 
+def _plain(content: bytes) -> bytes:
+    return gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content
+
+
 def _field(head: bytes, name: bytes) -> bytes | None:
     for line in head.split(b"\r\n")[1:]:
         key, _, value = line.partition(b":")
@@ -141,7 +146,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                yield from _rows(content.as_py())
+                yield from _rows(_plain(content.as_py()))
 
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     # A file has one row; a batch must not gather several.
