@@ -12,8 +12,8 @@ tells or its given name has.
 
 Collision checks: the identities of all documents are gathered (distinct, so a hot one is one row). A surrogate is
 refused if another identity of its kind has it, or if it is itself an identity of the corpus; the smallest identity keeps
-a contested surrogate, and the others try again with the next attempt number, until none is refused. Only identities
-whose attempt isn't 0 are joined back, on a table whose size Spark knows, so it decides whether that may be broadcast.
+a contested surrogate, and the others try again with the next attempt number, until none is refused. The dictionary so
+made is joined to the documents' entities, and what that gives to the documents, by tables whose sizes Spark knows.
 
 Nulls and edges: a null text stays null and has no entity. Empty and very long texts are handled whole. Rows that agree
 in doc_id and text get the same text. Other columns pass through. An empty table gives no rows.
@@ -22,7 +22,6 @@ in doc_id and text get the same text. Other columns pass through. An empty table
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,35 +206,29 @@ def _poured(e: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(e, "(?!^)(?<=.)"), lambda c, i: F.when(c.rlike("[0-9]"), digits.substr(at(i), F.lit(1))).otherwise(c)), "")
 
 
-def replaced(e: Column, config: PiiConfig, attempt) -> Column:
-    """What stands for an entity in the text; attempt(kind, canon) is its attempt number."""
+def replaced(e: Column, look) -> Column:
+    """What stands for an entity in the text; look(kind, canon) is an identity's surrogate."""
     kind = _kind(e)
-    of = lambda k, canon: surrogate_of(config, k, canon, attempt(F.lit(k), canon))
+    of = lambda k, canon: look(F.lit(k), canon)
     mail = F.concat(of("email", F.lower(e)), F.lit("@"), of("domain", F.lower(F.substring_index(e, "@", -1))))
     cased = lambda old, new: F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(new)
-    words = F.zip_with(F.slice(F.split(e, " "), 2, 9), _name_words(e), lambda w, x: cased(w, surrogate(config, x.kind, x.canon, attempt(x.kind, x.canon))))
+    words = F.zip_with(F.slice(F.split(e, " "), 2, 9), _name_words(e), lambda w, x: cased(w, look(x.kind, x.canon)))
     name = F.concat_ws(" ", F.substring_index(e, " ", 1), words)
-    numbers = {k: _poured(e, of(k, _digits(e))) for k in ("card", "phone", "ssn")}
     chosen = F.when(kind == "email", mail).when(kind == "name", name).when(kind == "ip", of("ip", e))
-    return reduce(lambda c, k: c.when(kind == k, numbers[k]), numbers, chosen).otherwise(e)
+    return chosen.when(kind.isNotNull(), _poured(e, look(kind, _digits(e)))).otherwise(e)
 
 
-def surrogate_of(config: PiiConfig, kind: str, canon: Column, attempt: Column) -> Column:
-    return surrogate(config, F.lit(kind), canon, attempt)
-
-
-def attempts(found: DataFrame, config: PiiConfig) -> DataFrame:
-    """kind, canon, attempt of the identities whose first surrogates were refused. found: distinct kind, canon."""
+def dictionary(found: DataFrame, config: PiiConfig) -> DataFrame:
+    """kind, canon, new: each identity's surrogate, without collisions. found: distinct kind, canon."""
     state = written(found.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(config, F.col("kind"), F.col("canon"), F.lit(0))), "pii-identities")
     taken = found.select("kind", F.lower("canon").alias("_used")).withColumn("_real", F.lit(True))
     for _ in range(config.most_attempts):
         shown = F.when(F.col("kind") == "email", F.concat("new", F.lit("@"), F.substring_index("canon", "@", -1))).otherwise(F.col("new"))
-        state_low = state.withColumn("_used", F.lower(shown))
         first = F.row_number().over(Window.partitionBy("kind", "_used").orderBy("canon"))
-        bad = state_low.withColumn("_n", first).join(taken, ["kind", "_used"], "left").withColumn("_bad", (F.col("_n") > 1) | F.coalesce("_real", F.lit(False)))
-        marked = written(bad.select("kind", "canon", "attempt", "new", "_bad"), "pii-checked")
+        bad = state.withColumn("_used", F.lower(shown)).withColumn("_n", first).join(taken, ["kind", "_used"], "left")
+        marked = written(bad.select("kind", "canon", "attempt", "new", ((F.col("_n") > 1) | F.coalesce("_real", F.lit(False))).alias("_bad")), "pii-checked")
         if marked.where("_bad").isEmpty():
-            return marked.where("attempt > 0").select("kind", "canon", "attempt")
+            return marked.select("kind", "canon", "new")
         again = F.col("attempt") + F.col("_bad").cast("int")
         new = F.when(F.col("_bad"), surrogate(config, F.col("kind"), F.col("canon"), again)).otherwise(F.col("new"))
         state = marked.select("kind", "canon", again.alias("attempt"), new.alias("new"))
@@ -253,18 +246,19 @@ def pseudonymise(docs: DataFrame, config: PiiConfig | None = None) -> DataFrame:
     config = config or PiiConfig()
     held = written(entities(docs), "pii-entities")
     each = held.select("doc_id", "h", F.explode("entities").alias("e")).select("doc_id", "h", F.explode(identities(F.col("e"))).alias("i")).select("doc_id", "h", "i.kind", "i.canon")
-    late = written(attempts(each.select("kind", "canon").distinct(), config), "pii-attempts")
+    distinct = written(each.select("kind", "canon").distinct(), "pii-distinct")
+    made = dictionary(distinct, config)
     name = F.concat_ws("\x1f", "kind", "canon")
-    own = each.join(late, ["kind", "canon"]).select("doc_id", "h", F.struct(name.alias("k"), "attempt").alias("x")).distinct()
-    own = own.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list("x")).alias("late"))
+    own = each.distinct().join(made, ["kind", "canon"]).groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct(name, "new"))).alias("made"))
 
-    def attempt(kind: Column, canon: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("late"), F.concat_ws("\x1f", kind, canon)), F.lit(0))
+    def look(kind: Column, canon: Column) -> Column:
+        return F.element_at(F.col("made"), F.concat_ws("\x1f", kind, canon))
 
     # Only documents with entities are taken apart; their new texts come back by id and hash.
     kinds = F.filter(F.transform("entities", _kind), lambda k: k.isNotNull())
-    told = held.join(own, ["doc_id", "h"], "left")
-    told = told.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.transform("entities", lambda e: replaced(e, config, attempt)).alias("_new"), kinds.alias("_kinds")).dropDuplicates(["_id", "_h"])
+    once = held.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entities")
+    told = once.join(own, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left")
+    told = told.select("_id", "_h", F.transform("entities", lambda e: replaced(e, look)).alias("_new"), kinds.alias("_kinds"))
     told = written(told, "pii-replacements")
     plain = docs.drop("n_pii", "pii_kinds")
     joined = plain.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left")
