@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, mixing, pii, topk, toxicity, warc
+from . import decontamination, jaccard, licenses, mixing, pii, substrings, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_pii_surrogates, op3_toxicity, op4_decontamination, op5_license_scan, op7_ngram_jaccard, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_pii_surrogates, op3_toxicity, op4_decontamination, op5_license_scan, op7_ngram_jaccard, op8_substring_dedup, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
