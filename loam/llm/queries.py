@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, mixing, pii, substrings, topk, toxicity, warc
+from . import decontamination, jaccard, language_model, licenses, mixing, pii, substrings, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_pii_surrogates, op3_toxicity, op4_decontamination, op5_license_scan, op7_ngram_jaccard, op8_substring_dedup, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_pii_surrogates, op3_toxicity, op4_decontamination, op5_license_scan, op6_lm_scoring, op7_ngram_jaccard, op8_substring_dedup, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
