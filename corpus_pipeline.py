@@ -3,18 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loam.llm import toxicity
+from loam.llm import decontamination, jaccard, mixing, pii, toxicity
 from loam.llm.storage import written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted label is toxic go; those that have no id stay, as nothing is known of them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_clean(docs, labels)
+    """Documents whose predicted label is toxic go."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("toxicity", reject_toxic)]
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five-word shingles, similarity 0.8 or more, joined in groups) the smallest doc_id stays."""
+    return jaccard.keep_one(docs, jaccard.JaccardConfig(size=5, percent=80))
+
+
+def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark window stands go."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Detected entities give way to surrogates; n_chars follows the new text."""
+    return pii.pseudonymise(docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with their sizes, sources' targets and words taken."""
+    return mixing.mix(docs).where(F.col("taken") > 0)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("n-gram jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", reject_contaminated),
+    ("pii", replace_personal_data),
+    ("mixing", mix_sources),
+]
 
 #: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
