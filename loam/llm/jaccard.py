@@ -10,14 +10,18 @@ share one of their first n - ceil(percent * n / 100) + 1 tokens. The join has tw
 1. Grouping. Of the classes that share such a token, each is compared with one of them, the token's leader. Links found
    so partition similar classes into groups (connected ones), which are cut into pieces of at most `piece` classes.
 2. Token-group matrix. A token's row holds the pieces in which some class has it. A class is a query to the pieces of
-   other groups that its tokens' rows name, and whose sizes fit. Where a piece meets its queries, the union of its tokens
-   bounds each query's overlap with any of its classes; only where the bound suffices the piece is opened and every
-   class of it counted exactly. One link joins two groups, so copies of copies aren't paired.
+   other groups that its tokens' rows name, and whose sizes fit.
+
+In both, a piece first meets its queries' signatures (the parities of a set's tokens in about as many bits as it has
+tokens): two sets differ in at least as many tokens as their parities do, which bounds their overlap. Only pieces and
+queries that the bound lets through are opened, which is when sets travel. There the union of a piece's tokens bounds
+each query's overlap once more before its classes are counted exactly. In step 2 one link joins two groups, so copies of
+copies aren't paired.
 
 Both steps together miss no link between groups: every linked pair shares a token, so it was either compared in step 1,
 or lies in one group already, or is compared in step 2.
 
-Sets travel only for classes that are compared: a filter of fixed size over their documents' ids picks them in the scan.
+A filter of fixed size over documents' ids picks the signatures and sets that travel in the scan.
 
 Nulls and edges: a null or empty text, or one without words, has an empty set and links with nothing: it is its own
 component. A text of fewer than `size` words has its whole sequence as the one shingle. Rows with a null doc_id have a
@@ -122,8 +126,14 @@ def prefix_tokens(docs: DataFrame, sketch: np.ndarray, config: JaccardConfig, on
     return docs.mapInArrow(first, "token long, class long, n long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, config: JaccardConfig) -> DataFrame:
-    """class, tokens (binary) of the classes of wanted (class, doc_id: one of its documents)."""
+def signature(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens in 2 ** k bits, as many as there are tokens, or more, and 64 at least."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & U64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, config: JaccardConfig, of=lambda tokens: tokens.tobytes()) -> DataFrame:
+    """class, n, data (what `of` makes of the set) of the classes of wanted (class, doc_id: one of its documents)."""
     only = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted, "doc_id"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,16 +143,49 @@ def sets_of(docs: DataFrame, wanted: DataFrame, config: JaccardConfig) -> DataFr
             for at, texts in chunks(kept, "text"):
                 sets = shingle_sets(texts, config.size)
                 names = [class_of(x) if len(x) else 0 for x in sets]
-                yield pa.RecordBatch.from_arrays([_ids(kept, at), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "class", "tokens"])
+                columns = [_ids(kept, at), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([of(x) if len(x) else b"" for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "data"])
+
+    rows = docs.mapInArrow(read, "doc_id long, class long, n long, data binary")
+    return rows.join(wanted, ["doc_id", "class"]).select("class", "n", "data").dropDuplicates(["class"])
+
+
+def _passing(table: pa.Table, percent: int) -> list[int]:
+    """The queries that the signatures' bound lets through to some class of one piece of a group."""
+    role, names, sizes = table["role"].to_numpy(), table["class"].to_numpy(), table["n"].to_numpy()
+    bits = [np.frombuffer(x.as_py(), np.uint64) for x in table["data"]]
+    kinds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for width in {len(bits[m]) for m in np.flatnonzero(role == 0)}:
+        some = [m for m in np.flatnonzero(role == 0) if len(bits[m]) == width]
+        kinds[width] = np.stack([bits[m] for m in some]), sizes[some]
+    out = []
+    for q in np.flatnonzero(role == 1):
+        for width, (held, n) in kinds.items():
+            both = min(width, len(bits[q]))  # the wider one folds onto the narrower
+            own = np.bitwise_xor.reduce(bits[q].reshape(-1, both), axis=0)
+            apart = np.bitwise_count(np.bitwise_xor.reduce(held.reshape(len(held), -1, both), axis=1) ^ own).sum(axis=1).astype(np.int64)
+            most = (n + sizes[q] - apart) // 2
+            if (100 * most >= percent * (n + sizes[q] - most)).any():
+                out.append(int(names[q]))
+                break
+    return out
 
-    rows = docs.mapInArrow(read, "doc_id long, class long, tokens binary")
-    return rows.join(wanted, ["doc_id", "class"]).select("class", "tokens").dropDuplicates(["class"])
+
+def passing(queries: DataFrame, members: DataFrame, signatures: DataFrame, config: JaccardConfig) -> DataFrame:
+    """The rows of queries (class, piece) that the signatures' bound lets through to a piece of members (class, piece)."""
+
+    def passed(key: tuple, table: pa.Table) -> pa.Table:
+        found = _passing(table, config.percent)
+        return pa.table({"class": pa.array(found, pa.int64()), "piece": pa.array([key[0].as_py()] * len(found), pa.int64())})
+
+    dealt = _lots(queries, members, config).join(signatures, "class")
+    return dealt.groupBy("piece", "lot").applyInArrow(passed, "class long, piece long")
 
 
 def _compared(table: pa.Table, percent: int, one_each: bool) -> tuple[list[int], list[int]]:
     """Links between the queries and the members of one piece of a group."""
     role, names = table["role"].to_numpy(), table["class"].to_numpy()
-    sets = [np.frombuffer(x.as_py(), U64) for x in table["tokens"]]
+    sets = [np.frombuffer(x.as_py(), U64) for x in table["data"]]
     members = np.flatnonzero(role == 0)
     out: tuple[list[int], list[int]] = ([], [])
     if not len(members):
@@ -204,23 +247,31 @@ def link(docs: DataFrame, config: JaccardConfig | None = None) -> tuple[DataFram
 
     sketch = counts(docs, hashes, width)
     firsts = prefix_tokens(docs, sketch, config)
-    stars = firsts.groupBy("token").agg(F.min(F.struct("class", "n")).alias("lead"), F.max("class").alias("last"))
-    stars = written(stars.where("lead.class <> last").select("token", F.col("lead.class").alias("leader"), F.col("lead.n").alias("leader_n")), "jaccard-stars")
+    stars = firsts.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"))
+    stars = written(stars.where("leader <> last").select("token", "leader"), "jaccard-stars")
     firsts = written(prefix_tokens(docs, sketch, config, Filter.of(stars, "token")).distinct().join(stars, "token"), "jaccard-tokens")
-    reps = listed.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    shared = firsts.groupBy("class").agg(F.first("n").alias("n"))
+    reps = listed.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    reps = written(shared.join(reps, "class").select("class", "doc_id", "n"), "jaccard-shared")
+    signatures = written(sets_of(docs, reps.select("class", "doc_id"), config, signature), "jaccard-signatures")
+
+    def opened(queries: DataFrame, members: DataFrame, one_each: bool) -> DataFrame:
+        """Links of the queries that pass the bound with the members of their pieces."""
+        asked = written(passing(queries, members, signatures, config), "jaccard-passed")
+        held = members.join(asked.select("piece").distinct(), "piece")
+        wanted = asked.select("class").unionByName(held.select("class")).distinct().join(reps.select("class", "doc_id"), "class")
+        sets = sets_of(docs, written(wanted, "jaccard-wanted"), config).drop("n")
+        return written(compare(_lots(asked, held, config), sets, config, one_each), "jaccard-links")
 
     # Step 1: each class with the leaders of its tokens.
-    near = firsts.where((F.col("class") != F.col("leader")) & _fits(F.col("n"), F.col("leader_n"), config.percent))
-    near = written(near.select("class", F.col("leader").alias("piece")).distinct(), "jaccard-leaders")
-    shared = firsts.groupBy("class").agg(F.first("n").alias("n"))
-    wanted = written(shared.select("class").join(reps.select("class", "doc_id"), "class"), "jaccard-wanted")
-    sets = written(sets_of(docs, wanted, config), "jaccard-sets")
-    leaders = near.select("piece", F.col("piece").alias("class")).distinct()
-    links = written(compare(_lots(near, leaders, config), sets, config, one_each=False), "jaccard-links")
+    near = firsts.where(F.col("class") != F.col("leader")).select("class", "n", F.col("leader").alias("piece")).distinct()
+    near = near.join(reps.select(F.col("class").alias("piece"), F.col("n").alias("leader_n")), "piece")
+    near = written(near.where(_fits(F.col("n"), F.col("leader_n"), config.percent)).select("class", "piece"), "jaccard-leaders")
+    links = opened(near, near.select(F.col("piece").alias("class"), "piece").distinct(), one_each=False)
 
     # Step 2: each class with the pieces of other groups in its tokens' rows.
     group = components(links)
-    grouped = shared.join(group, F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("root", "class").alias("group"))
+    grouped = reps.join(group, F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("root", "class").alias("group"))
     many = grouped.groupBy("group").agg(F.ceil(F.count("*") / config.piece).cast("long").alias("pieces"))
     piece = F.when(F.col("pieces") == 1, F.col("group")).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("class"), "pieces")))
     placed = written(grouped.join(many, "group").select("class", "n", "group", piece.alias("piece")), "jaccard-pieces")
@@ -231,8 +282,7 @@ def link(docs: DataFrame, config: JaccardConfig | None = None) -> tuple[DataFram
     asking = held.select("token", "class", "n", F.col("group").alias("own")).join(matrix, "token")
     fits = (F.col("high") * 100 >= F.col("n") * config.percent) & (F.col("n") * 100 >= F.col("low") * config.percent)
     asked = written(asking.where((F.col("own") < F.col("group")) & fits).select("class", "piece").distinct(), "jaccard-queries")
-    opened = placed.select("class", "piece").join(asked.select("piece").distinct(), "piece")
-    more = written(compare(_lots(asked, opened, config), sets, config, one_each=True), "jaccard-more-links")
+    more = opened(asked, placed.select("class", "piece"), one_each=True)
     return listed, links.unionByName(more)
 
 
