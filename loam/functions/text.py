@@ -42,12 +42,15 @@ def join_lines(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s{2,}", " "))
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility form; Spark has no function for it."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form; Spark has no function for it."""
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
 def clean_block(text: Column) -> Column:
     """nfkc() then join_lines(); texts that are ASCII need no NFKC but pass the same way."""
     return join_lines(nfkc(text))
