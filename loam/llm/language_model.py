@@ -39,7 +39,7 @@ from .storage import written
 from .words import SPACED_LOWER, U64, encoded, mix, per_text, words
 
 _START, _END = U64(0x5354415254), U64(0x454E44)
-_CHUNK, _MOST_DOCS = 6 << 20, 1 << 14
+_CHUNK, _MOST_DOCS = 3 << 20, 1 << 14
 
 
 @dataclass(frozen=True)
