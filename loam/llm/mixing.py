@@ -43,11 +43,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], config: MixConfig) -> dict[str | None, float]:
-    """Each source's target: its weight's part of the total, at most `most` times its size; the rest goes to others."""
+def targets(sizes: dict[str | None, int], config: MixConfig, total: int | None = None) -> dict[str | None, float]:
+    """Each source's target: its weight's part of the total, at most `most` times its size; the rest goes to others.
+
+    total: words of all documents, where those of several sources count once; by default the sum of sizes.
+    """
     order = sorted((x for x in sizes if x is not None), key=lambda x: [ord(c) for c in x]) + [None] * (None in sizes)
     weight = {s: config.weights[k % len(config.weights)] for k, s in enumerate(order)}
-    left = sum(sizes.values()) * config.total_percent / 100
+    left = (sum(sizes.values()) if total is None else total) * config.total_percent / 100
     got: dict[str | None, float] = {}
     open_ = list(order)
     while open_:
@@ -146,7 +149,7 @@ def mix(docs: DataFrame, members: Column | None = None, config: MixConfig | None
     for p, n in patterns.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    goal = targets(sizes, config)
+    goal = targets(sizes, config, sum(patterns.values()))
     given = routed(patterns, {s: round(x) for s, x in goal.items()}, config.most)
 
     told = [(k, [*p], sizes[p[0]], goal[p[0]], given[p] // max(n, 1), given[p] % max(n, 1)) for k, (p, n) in enumerate(patterns.items()) if p]

@@ -60,5 +60,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_topk, op2_pii_surrogates, op3_toxicity, op4_decontamination, op5_license_scan, op6_lm_scoring, op7_ngram_jaccard, op8_substring_dedup, op9_warc, op10_mixing)}
 
 
+_OP1 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20"""
+
+_WORDS4 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP4 = f"""WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents), b AS (SELECT item_id, {_WORDS4} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[i + 1:i + 10] AS win FROM b, unnest(range(greatest(len(w) - 10, 0) + 1)) AS u(i) WHERE len(w) > 0),
+place AS (SELECT doc_id, i AS start, size, w[i + 1:i + size] AS win FROM d, (SELECT DISTINCT len(win) AS size FROM win) s, unnest(range(greatest(len(w) - size + 1, 0))) AS u(i)),
+hit AS (SELECT doc_id, start, size, item_id FROM place JOIN win USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT start + j) AS n_hit FROM hit, unnest(range(size)) AS u(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_OP8 = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+place AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 35], ' ')) AS win FROM d, unnest(range(greatest(len(w) - 34, 0))) AS u(i)),
+again AS (SELECT doc_id, i FROM place QUALIFY count(*) OVER (PARTITION BY win) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM again, unnest(range(35)) AS u(j)),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS k FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS text FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators hold a trained model, a keyed or seeded choice, components of a graph or base32 digests;
+    they are tested against brute force."""
+    return {"op1_exact_topk": _OP1, "op4_decontamination": _OP4, "op8_substring_dedup": _OP8}

@@ -1,0 +1,290 @@
+"""Operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loam.llm import decontamination, jaccard, language_model, licenses, mixing, pii, substrings, topk, toxicity, warc
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, seq string, score double"
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def base_text(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("w%d" % x for x in rng.integers(0, 400, n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    a, b, passage = base_text(1, 300), base_text(2, 200), base_text(3, 60)
+    near = a.split()
+    near[150] = "changed"
+    out = {
+        1: a, 2: a, 3: " ".join(near), 4: b, 5: b + " " + passage, 6: base_text(4, 90) + " " + passage + " tail", 7: "", 8: None, 9: "one two", 10: "One  two",
+        11: "one two three", 12: "same " * 80, 13: base_text(5, 6000), 14: "É é İ ı\x0bx", 15: base_text(3, 60), 16: "  \n\t ", 17: passage + " " + passage, 18: base_text(6, 36), 19: base_text(6, 35),
+    }
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", 0, "clash", 1.0) for i, t in texts.items()]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_id(df, *columns):
+    return {r.doc_id: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def test_substrings(docs, empty, texts):
+    listed = {i: words(t) for i, t in texts.items()}
+    count = collections.Counter(tuple(w[k : k + 35]) for w in listed.values() for k in range(len(w) - 34))
+    expected = {}
+    for i, w in listed.items():
+        gone = {j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        expected[i] = len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()
+    columns = ("n_words", "n_removed", "kept_sha256")
+    assert by_id(substrings.dedupe(docs), *columns) == expected
+    assert by_id(substrings.dedupe(docs, substrings.SubstringConfig(hot=1, regions_a_shard=3)), *columns) == expected
+    assert substrings.dedupe(empty).count() == 0
+
+
+def test_jaccard(docs, empty, texts):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w)} if 0 < len(w) < 4 else {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    expected = {i: (len(sets[i]), root[i]) for i in sets}
+    assert by_id(jaccard.join(docs), "n_shingles", "component_id") == expected
+    assert by_id(jaccard.join(docs, jaccard.JaccardConfig(piece=1, queries=1)), "n_shingles", "component_id") == expected
+    assert jaccard.join(empty).count() == 0
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i in root if root[i] == i}
+
+
+@pytest.fixture(scope="module")
+def chain(spark):
+    """Near copies where each links with its neighbours only."""
+    base, rows = base_text(9, 120).split(), []
+    for i in range(12):
+        rows.append((100 + i, " ".join(base)))
+        for k in range(3):
+            base[(i * 9 + k * 2) % 120] = f"edit{i}x{k}"
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_jaccard_follows_chains(chain):
+    texts = {r.doc_id: r.text.split() for r in chain.collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in texts.items()}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert by_id(jaccard.join(chain), "component_id") == {i: (r,) for i, r in root.items()}
+
+
+def test_decontamination(spark, docs, empty, texts):
+    passage = texts[15]
+    items = [(1, passage), (2, base_text(3, 9)), (10, base_text(2, 12).upper()), (3, ""), (4, None), (None, passage), (5, "one TWO"), (1, passage)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").translate(LOWER))
+    wins = collections.defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        if i is not None and w:
+            for k in range(max(0, len(w) - 10) + 1):
+                wins[tuple(w[k : k + 10])].add(i)
+    expected = {}
+    for i, t in texts.items():
+        w, hit, found = split(t), set(), set()
+        for win, ids in wins.items():
+            for k in range(len(w) - len(win) + 1):
+                if tuple(w[k : k + len(win)]) == win:
+                    hit |= set(range(k, k + len(win)))
+                    found |= ids
+        names = ",".join(sorted(map(str, found)))
+        expected[i] = len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert by_id(decontamination.decontaminate(docs, bench), *columns) == expected
+    assert by_id(decontamination.decontaminate(docs, bench, broadcast_windows=0), *columns) == expected
+    assert decontamination.decontaminate(empty, bench).count() == 0
+    assert not any(r.contaminated for r in decontamination.decontaminate(docs, bench.where("false")).collect())
+    assert {r.doc_id for r in decontamination.keep_clean(docs, bench).collect()} == {i for i, x in expected.items() if not x[4]}
+
+
+def test_language_model(docs, empty, texts):
+    listed = {i: (t or "").encode().lower().split() + ["</s>"] for i, t in texts.items()}
+    learnt = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i in texts}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in listed.items():
+        if learnt[i]:
+            one.update(w)
+            two.update(zip(["<s>", *w], w))
+    total, mass = sum(one.values()), sum(one.values()) + 0.5 * (len(one) + 1)
+    context = collections.Counter(one)
+    context["<s>"] = sum(learnt.values())
+    for config in (language_model.ModelConfig(), language_model.ModelConfig(frequent=3, frequent_pairs=20, least_shards=2)):
+        got = {r.doc_id: r for r in language_model.score(docs, config).collect()}
+        assert set(got) == set(texts)
+        for i, w in listed.items():
+            base = sum(math.log10((one[x] + 0.5) / mass) for x in w)
+            score = sum(math.log10(two[h, x] + 8 * (one[x] + 0.5) / mass) - math.log10(context[h] + 8) for h, x in zip(["<s>", *w], w))
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learnt[i], len(w), sum(one[x] > 0 for x in w), total)
+            assert r.base_score == pytest.approx(base)
+            assert r.score == pytest.approx(score, rel=1e-3)
+    assert language_model.score(empty).count() == 0
+
+
+def test_mixing(docs, empty, texts):
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    size = {i: len(words(t)) for i, t in texts.items()}
+    assert {i: r.size for i, r in rows.items()} == size
+    sources = collections.defaultdict(int)
+    for r in rows.values():
+        sources[r.source] += r.taken
+    for r in rows.values():
+        assert sources[r.source] == pytest.approx(r.target, abs=1)
+        assert 0 <= r.taken <= 2 * r.size
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(1)).collect()}
+    assert again == {i: r.taken for i, r in rows.items()}
+    assert mixing.mix(empty).count() == 0
+    both = mixing.mix(docs, F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).collect()
+    assert sum(r.taken for r in both) == pytest.approx(1.5 * sum(size.values()), abs=2)
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=6).tolist(), "x") for i in range(60)] + [(60, None, ""), (80, [1.0, None], ""), (100, [float("nan")] * 6, ""), (61, [float("inf")] * 6, ""), (120, [0.5], ""), (62, [], "")]
+    rows += [(i, rows[0][1], "copy") for i in range(200, 230)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    whole = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    expected = []
+    for i in whole:
+        if i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)[:20]
+            expected += [(i, k, j, -s) for k, (s, j) in enumerate(scores, 1)]
+    for blocks in ({}, {"items_a_block": 16, "queries_a_block": 2}):
+        got = topk.search(table, F.col("vec_id") % 20 == 0, **blocks)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(expected)
+    assert topk.search(table.where("false"), F.lit(True)).count() == 0
+
+
+def test_warc(spark):
+    rows = [(i, f"http://x/{i}", h, "z") for i, h in enumerate(["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc", "\r\n", "<p>a</p>", "b" * 100_000])] + [(20, None, "u", ""), (None, "v", "w", "")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string")
+    largest = {}
+    for i, _, h, _ in rows:
+        if i is not None:
+            largest[h or ""] = max(i, largest.get(h or "", i))
+    expected = {}
+    for i, _, h, _ in rows:
+        if i is not None:
+            body = (h or "").encode()
+            other = largest[h or ""] != i
+            expected[i] = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if other else "response", largest[h or ""] if other else None, None if other else h or ""
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html) for r in warc.round_trip(table).collect()}
+    assert got == expected
+
+
+def test_license_scan(docs, empty, texts):
+    got = by_id(licenses.scan(docs), "n_words", "n_base", "labels", "score")
+    assert all(x[1:] == (0, "", 0.0) for x in got.values())
+    assert got[14][0] == 5
+    assert licenses.scan(empty).count() == 0
+
+
+PEOPLE = [
+    (1, "Write to anna.berg@mail.example.com or 10.1.2.3 now."),
+    (2, "ANNA.BERG@mail.example.com again; card 4337166598464399, not 4337166598464398."),
+    (3, "Mr. John Smith and Mrs. Mary SMITH met Dr. Smith. Call +1 (456) 555-2186."),
+    (4, "No one here, Version 2.0."), (5, None), (6, ""), (7, "Phone 456-555-2186 and 123-45-6789 and 8.8.8.8"), (4, "No one here, Version 2.0."), (8, "г-жа Анна Иванова, г-н Иванов"),
+]
+
+
+def test_pii(spark):
+    table = spark.createDataFrame([(i, t, "x") for i, t in PEOPLE], "doc_id long, text string, h string")
+    out = pii.pseudonymise(table)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(out.collect()) == len(PEOPLE)
+    assert [got[i].text for i in (4, 5, 6)] == ["No one here, Version 2.0.", None, ""]
+    assert [got[i].n_pii for i in range(1, 8)] == [2, 2, 4, 0, 0, 0, 3]
+    mail = re.search(r"\S+@\S+", got[1].text)[0]
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{4}@[a-z]{4}\.[a-z]{7}\.com", mail)
+    assert mail != "anna.berg@mail.example.com"
+    assert mail in got[2].text
+    assert re.search(r" 10\.\d+\.\d+\.\d+ ", got[1].text)
+    card = re.search(r"card (\d{16})", got[2].text)[1]
+    digits = [int(c) for c in card[::-1]]
+    assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+    assert card != "4337166598464399"
+    assert "not 4337166598464398" in got[2].text
+    john, smith, mary, upper, again = re.search(r"Mr\. (\w+(?:-\w+)?) (\w+) and Mrs\. (\w+(?:-\w+)?) (\w+) met Dr\. (\w+)", got[3].text).groups()
+    assert upper == smith.upper()
+    assert again == smith
+    assert smith != "Smith"
+    assert john.split("-")[0] in pii.GIVEN["latin", "m"]
+    assert mary.split("-")[0] in pii.GIVEN["latin", "f"]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}\.$", got[3].text)
+    assert re.search(r"г-жа [А-Я]\w+ ", got[8].text)
+    assert pii.pseudonymise(table).orderBy("doc_id").collect() == out.orderBy("doc_id").collect()
+    assert pii.pseudonymise(table.where("false")).count() == 0
+
+
+def test_pii_surrogates_are_distinct(spark):
+    names = [(i, f"Mr. Adam Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)]
+    table = spark.createDataFrame(names, "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(table).collect()]
+    assert len({t.split()[-1].lower() for t in got}) == 600
+    assert len({t.split()[1] for t in got}) == 1
+
+
+def test_toxicity(spark, empty):
+    rng = np.random.default_rng(0)
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        body = [f"w{x}" for x in rng.integers(0, 80, 25)] + (["idiot", "scum"] if bad else [])
+        rows.append((i, " ".join(body), "en", "s", 0, "", 0.0))
+        marks.append((i, int(bad)))
+    rows += [(1000, "", "en", "s", 0, "", 0.0), (1001, None, "en", "s", 0, "", 0.0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([*marks, (5, None), (None, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert len(got) == 602
+    for i, bad in marks:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i].predicted == bad
+        assert got[i].predicted == (got[i].score >= 0.5)
+    assert 0 <= got[1000].score == got[1001].score < 0.5
+    assert toxicity.classify(empty, labels).count() == 0
+    assert {r.predicted for r in toxicity.classify(docs, labels.where("false")).collect()} == {0}
+    assert {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()} == {i for i in got if not got[i].predicted}
