@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .sketches import Filter, counts, rank_of
 from .storage import written
-from .words import SPACED_LOWER, U64, chunks, mix, rolling, words
+from .words import SPACED_LOWER, U64, chunks, give_back, mix, rolling, words
 
 
 @dataclass(frozen=True)
@@ -216,6 +216,8 @@ def compare(pairs: DataFrame, sets: DataFrame, config: JaccardConfig, one_each:
 
     def linked(table: pa.Table) -> pa.Table:
         a, b = _compared(table, config.percent, one_each)
+        if table.num_rows > 64:
+            give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return pairs.join(sets, "class").groupBy("piece", "lot").applyInArrow(linked, "a long, b long")

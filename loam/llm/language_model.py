@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .eliasfano import CONTEXT_BITS, Trie
 from .storage import written
-from .words import SPACED_LOWER, U64, encoded, mix, per_text, words
+from .words import SPACED_LOWER, U64, give_back, mix, parts, words
 
 _START, _END = U64(0x5354415254), U64(0x454E44)
 _CHUNK, _MOST_DOCS = 3 << 20, 1 << 14
@@ -83,15 +83,7 @@ def tokens(texts: list[bytes]) -> _Tokens:
 
 
 def _parts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[slice, list[bytes]]]:
-    texts = encoded(batch.column("text"))
-    begin, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text) + 1
-        if total >= most or i - begin + 1 >= _MOST_DOCS:
-            yield slice(begin, i + 1), texts[begin : i + 1]
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts)), texts[begin:]
+    return parts(batch, "text", most, _MOST_DOCS)
 
 
 class _Sums:
@@ -315,6 +307,7 @@ def _scored(table: pa.Table, known: Frequent, pseudo: float) -> pa.Table:
             part["doc"], part["score"], part["base"], part["known"] = some, sums[0][some], sums[1][some], sums[2][some]
             out.append((name, 0, part.tobytes()))
     a, b, c = zip(*out, strict=True) if out else ((), (), ())
+    give_back()
     return pa.table({"chunk": pa.array(a, pa.int64()), "kind": pa.array(b, pa.int32()), "data": pa.array(c, pa.binary())})
 
 

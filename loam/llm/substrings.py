@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .fmindex import FMIndex
 from .sketches import Filter
 from .storage import written
-from .words import _DOWN, _UP, SPACED, U64, Words, chunks, mix, per_text, rolling, words
+from .words import _DOWN, _UP, SPACED, U64, Words, chunks, give_back, mix, per_text, rolling, words
 
 
 @dataclass(frozen=True)
@@ -189,6 +189,7 @@ def _reported(table: pa.Table, size: int) -> pa.Table:
     mask = np.zeros(len(names), np.int64)
     np.bitwise_or.at(mask, owner[asked[found]], np.int64(1) << inner[asked[found]])
     some = np.flatnonzero(mask)
+    give_back()
     return pa.table({"region": names[some], "mask": mask[some]})
 
 

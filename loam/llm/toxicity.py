@@ -35,6 +35,7 @@ class ToxicityConfig:
     per_class: int = 6000
     least_docs: int = 4
     epochs: int = 8
+    least_steps: int = 800
     batch: int = 128
     rate: float = 0.08
     l1: float = 2e-4
@@ -92,7 +93,8 @@ def fit(terms: list[np.ndarray], label: np.ndarray, config: ToxicityConfig) -> M
         return model
     kept = [np.flatnonzero(np.isin(known, x, assume_unique=True)) for x in terms]
     past_b, past_w, past_v = 1e-8, np.full(len(known), 1e-2), np.full((len(known), k), 1e-2)
-    for _ in range(config.epochs):
+    steps = -(-len(label) // config.batch)
+    for _ in range(max(config.epochs, -(-config.least_steps // steps))):
         order = rng.permutation(len(label))
         for begin in range(0, len(order), config.batch):
             part = order[begin : begin + config.batch]

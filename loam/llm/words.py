@@ -6,13 +6,20 @@ Python step per word. All hashes are functions of the bytes alone: they agree be
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes handled at once; a longer text is handled alone.
@@ -132,17 +139,29 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(batch: pa.RecordBatch, column: str, most_bytes: int = CHUNK, most_rows: int = 1 << 30) -> Iterator[tuple[slice, list[bytes]]]:
+    """Parts of a batch of about most_bytes of text each: rows and their texts. Only one part's texts are held at once."""
+    texts = batch.column(column)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    begin, n = 0, len(size)
+    total = np.concatenate([[0], np.cumsum(size)])
+    while begin < n:
+        end = int(np.searchsorted(total, total[begin] + most_bytes))
+        end = min(max(end, begin + 1), begin + most_rows, n)
+        yield slice(begin, end), encoded(texts.slice(begin, end - begin))
+        begin = end
+    give_back()
+
+
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[slice, list[bytes]]]:
-    """Parts of a batch of about CHUNK bytes of text each: rows and their texts."""
-    texts = encoded(batch.column(column))
-    begin, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text) + 1
-        if total >= CHUNK:
-            yield slice(begin, i + 1), texts[begin : i + 1]
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts)), texts[begin:]
+    return parts(batch, column)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what they keep adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def per_text(first: np.ndarray) -> np.ndarray:
