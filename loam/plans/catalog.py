@@ -262,7 +262,26 @@ _PARAGRAPHS = [
 ]
 
 
-@query()
+def _pattern(regex: str) -> str:
+    return "'" + regex.replace("'", "''") + "'"
+
+
+def _level_sql(k: int) -> str:
+    last = lambda value, when: f"last_value(CASE WHEN {when} THEN {value} END IGNORE NULLS) OVER w"
+    return f"{last('seq', f'level = {k}')} AS a{k}, {last('seq', f'level < {k}')} AS b{k}, {last('text', f'level = {k}')} AS t{k}"
+
+
+_SECTIONS = f"""WITH p AS (SELECT *, length(text) <= 100 AND regexp_matches(text, {_pattern(structure.SKIP_SECTION)}) AS skip FROM {values(_PARAGRAPHS, "doc, seq, text")}),
+h AS (SELECT *, NOT skip AND length(text) <= 100 AND len(regexp_split_to_array(trim(text), '\\s+')) <= 12 AND NOT regexp_matches(rtrim(text), '[.,;]$') AND regexp_matches(trim(text), {_pattern(structure.HEADING)}) AS head FROM p),
+l AS (SELECT *, CASE WHEN NOT head THEN NULL WHEN regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\.?\\s', 1) <> '' THEN length(regexp_replace(regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\.?\\s', 1), '[^.]', '', 'g')) + 1
+WHEN regexp_matches(text, {_pattern(structure.TOP_LEVEL)}) THEN 1 ELSE 2 END AS level FROM h),
+g AS (SELECT *, {", ".join(map(_level_sql, range(1, 5)))}, CAST(sum(CAST(head AS INTEGER)) OVER w AS BIGINT) AS segment, sum(CAST(skip OR head AS INTEGER)) OVER w AS grp FROM l WINDOW w AS (PARTITION BY doc ORDER BY seq)),
+d AS (SELECT *, bool_or(skip) OVER (PARTITION BY doc, grp) AND sum(CASE WHEN skip OR head THEN 0 ELSE length(text) END) OVER (PARTITION BY doc, grp ORDER BY seq) <= 4000 AS gone FROM g)
+SELECT doc, seq, md5(text) AS text, concat_ws(' > ', {", ".join(f"CASE WHEN a{k} IS NOT NULL AND (b{k} IS NULL OR a{k} > b{k}) THEN t{k} END" for k in range(1, 5))}) AS section, segment
+FROM d WHERE NOT skip AND NOT head AND NOT gone AND NOT (regexp_matches(text, {_pattern(structure.TOC_ENTRY)}) AND length(text) < 400)"""
+
+
+@query(_SECTIONS)
 def section_path(spark, sf_dir):
     rows = structure.sections(spark.createDataFrame(_PARAGRAPHS, "doc string, seq int, text string"))
     return rows.select("doc", "seq", F.md5("text").alias("text"), "section", "segment")
@@ -275,7 +294,20 @@ _BLOCKS = [
 ]
 
 
-@query()
+_LINE = "split_part(trim(text), chr(10), 1)"
+_REFERENCES = f"""WITH k AS (SELECT *, CASE WHEN regexp_matches({_LINE}, {_pattern(structure.REFERENCE_HEADING)}) THEN 'R'
+WHEN length(trim({_LINE})) <= 100 AND NOT regexp_matches(trim({_LINE}), {_pattern(structure.CITATION_HINT)}) AND regexp_matches(trim({_LINE}), {_pattern(structure.SECTION_HEADING)}) THEN 'S'
+WHEN length(text) >= 300 AND NOT regexp_matches(text, {_pattern(structure.CITATION_HINT)}) THEN 'P' ELSE 'C' END AS kind FROM {values(_BLOCKS, "doc, page, seq, text")}),
+r AS (SELECT *, sum(CAST(kind = 'R' AS INTEGER)) OVER (PARTITION BY doc ORDER BY seq) AS region FROM k),
+n AS (SELECT *, kind = 'P' AND lag(kind, 1) OVER w = 'P' AND lag(kind, 2) OVER w = 'P' AS third FROM r WINDOW w AS (PARTITION BY doc, region ORDER BY seq)),
+e AS (SELECT doc, region, min(CASE WHEN kind = 'S' THEN seq WHEN third THEN seq END) AS stop FROM n GROUP BY ALL),
+j AS (SELECT n.*, stop FROM n JOIN e USING (doc, region)),
+b AS (SELECT j.*, (SELECT max(o.seq) FROM j o WHERE o.doc = j.doc AND o.region = j.region AND o.seq < j.stop AND o.kind <> 'P') AS last_other, (SELECT max(o.page) FROM j o WHERE o.doc = j.doc AND o.seq = j.stop) AS stop_page FROM j)
+SELECT doc, CASE WHEN region > 0 AND seq < stop THEN stop_page ELSE page END AS page, seq, md5(text) AS text FROM b
+WHERE region = 0 OR seq >= stop OR (kind = 'P' AND seq < stop AND seq > last_other)"""
+
+
+@query(_REFERENCES)
 def reference_list_strip(spark, sf_dir):
     rows = structure.strip_references(spark.createDataFrame(_BLOCKS, "doc string, page int, seq int, text string"))
     return rows.select("doc", "page", "seq", F.md5("text").alias("text"))
