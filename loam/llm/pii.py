@@ -264,17 +264,18 @@ def pseudonymise(docs: DataFrame, config: PiiConfig | None = None) -> DataFrame:
     def look(kind: Column, canon: Column) -> Column:
         return F.element_at(F.col("made"), F.concat_ws("\x1f", kind, canon))
 
-    # Only documents with entities are taken apart; their new texts come back by id and hash.
+    # Only documents with entities are shuffled and taken apart; the others pass by.
     kinds = F.filter(F.transform("entities", _kind), lambda k: k.isNotNull())
     once = held.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entities")
     told = once.join(own, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left")
     told = told.select("_id", "_h", F.transform("entities", lambda e: replaced(e, look)).alias("_new"), kinds.alias("_kinds"))
     told = written(told, "pii-replacements")
     plain = docs.drop("n_pii", "pii_kinds")
-    joined = plain.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left")
+    some = F.coalesce(may_hold(F.col("text")) & F.col("text").rlike(ENTITY), F.lit(False))
+    joined = plain.where(some).join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left")
     parts = F.zip_with(F.split("text", ENTITY, -1), "_new", lambda p, e: F.concat(p, F.coalesce(e, F.lit(""))))
-    text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
-    count = F.coalesce(F.size("_kinds"), F.lit(0)).cast("long")
-    count = F.when(F.col("_kinds").isNull(), F.lit(0)).otherwise(count).cast("long")
+    text = F.array_join(parts, "")
     columns = [text.alias("text") if c == "text" else F.length(text).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in plain.dtypes]
-    return joined.select(*columns, count.alias("n_pii"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("_kinds")), ","), F.lit("")).alias("pii_kinds"))
+    changed = joined.select(*columns, F.size("_kinds").cast("long").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("pii_kinds"))
+    same = plain.where(~some).withColumns({"n_pii": F.lit(0).cast("long"), "pii_kinds": F.lit("")})
+    return changed.unionByName(same)
