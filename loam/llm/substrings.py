@@ -16,7 +16,8 @@ and equal ones are one row there.
 Documents with the same words are copies: all of their words go, if they have a window at all. A task streams one copy.
 
 Nulls and edges: a null or empty text has no words: none removed, and the hash is that of the empty string. Texts of
-fewer words than a window lose nothing. Rows of one doc_id and other words are documents of their own. Words are
+fewer words than a window lose nothing. Rows of one doc_id and other words are documents of their own. Rows with a
+null doc_id count as places, and lose words only as copies. Words are
 compared by 64-bit hashes. Other columns are ignored. An empty table gives no rows.
 """
 
