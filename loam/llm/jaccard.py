@@ -7,19 +7,21 @@ Tokens are ordered by how many documents hold them, rarest first, as counted ove
 size (any order that all tasks agree on gives right results; this one keeps frequent tokens out). Classes that link
 share one of their first n - ceil(percent * n / 100) + 1 tokens. The join has two steps:
 
-1. Grouping. Of the classes that share such a token, each is compared with one of them, the token's leader. Links found
-   so partition similar classes into groups (connected ones), which are cut into pieces of at most `piece` classes.
-2. Token-group matrix. A token's row holds the pieces in which some class has it. A class is a query to the pieces of
-   other groups that its tokens' rows name, and whose sizes fit.
+1. Leaders. Of the classes that share such a token, each is compared with one of them, the token's leader. The links
+   found so connect classes, and what they connect isn't compared again.
+2. Token-group matrix. Classes are partitioned by the one of those tokens that most classes have, whether they link or
+   not, so versions of one text meet in a group; groups are cut into pieces of about `piece` classes. A token's row holds
+   the pieces in which some class has it. A class is a query to the pieces, at least as large as its own, that its
+   tokens' rows name, whose sizes fit, and in which that token's classes aren't all connected with it.
 
 In both, a piece first meets its queries' signatures (the parities of a set's tokens in about as many bits as it has
 tokens): two sets differ in at least as many tokens as their parities do, which bounds their overlap. Only pieces and
 queries that the bound lets through are opened, which is when sets travel. There the union of a piece's tokens bounds
-each query's overlap once more before its classes are counted exactly. In step 2 one link joins two groups, so copies of
-copies aren't paired.
+each query's overlap once more before its classes are counted exactly. A piece gives no link between classes that links
+have connected before, so copies of copies aren't paired.
 
-Both steps together miss no link between groups: every linked pair shares a token, so it was either compared in step 1,
-or lies in one group already, or is compared in step 2.
+Both steps together miss no connection: every linked pair shares a token, so it was either connected in step 1, or one
+of the two is a query to the other's piece in step 2.
 
 A filter of fixed size over documents' ids picks the signatures and sets that travel in the scan.
 
@@ -151,28 +153,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, config: JaccardConfig, of=lambda
 
 
 def _passing(table: pa.Table, percent: int) -> list[int]:
-    """The queries that the signatures' bound lets through to some class of one piece of a group."""
-    role, names, sizes = table["role"].to_numpy(), table["class"].to_numpy(), table["n"].to_numpy()
+    """The queries that the signatures' bound lets through to some class of one piece, of another root."""
+    role, names, sizes, roots = (table[c].to_numpy() for c in ("role", "class", "n", "root"))
     bits = [np.frombuffer(x.as_py(), np.uint64) for x in table["data"]]
-    kinds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    kinds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for width in {len(bits[m]) for m in np.flatnonzero(role == 0)}:
         some = [m for m in np.flatnonzero(role == 0) if len(bits[m]) == width]
-        kinds[width] = np.stack([bits[m] for m in some]), sizes[some]
+        kinds[width] = np.stack([bits[m] for m in some]), sizes[some], roots[some]
     out = []
     for q in np.flatnonzero(role == 1):
-        for width, (held, n) in kinds.items():
+        for width, (held, n, of) in kinds.items():
             both = min(width, len(bits[q]))  # the wider one folds onto the narrower
             own = np.bitwise_xor.reduce(bits[q].reshape(-1, both), axis=0)
             apart = np.bitwise_count(np.bitwise_xor.reduce(held.reshape(len(held), -1, both), axis=1) ^ own).sum(axis=1).astype(np.int64)
             most = (n + sizes[q] - apart) // 2
-            if (100 * most >= percent * (n + sizes[q] - most)).any():
+            if ((100 * most >= percent * (n + sizes[q] - most)) & (of != roots[q])).any():
                 out.append(int(names[q]))
                 break
     return out
 
 
 def passing(queries: DataFrame, members: DataFrame, signatures: DataFrame, config: JaccardConfig) -> DataFrame:
-    """The rows of queries (class, piece) that the signatures' bound lets through to a piece of members (class, piece)."""
+    """The class and piece of the queries that the signatures' bound lets through to a piece of members."""
 
     def passed(key: tuple, table: pa.Table) -> pa.Table:
         found = _passing(table, config.percent)
@@ -182,9 +184,9 @@ def passing(queries: DataFrame, members: DataFrame, signatures: DataFrame, confi
     return dealt.groupBy("piece", "lot").applyInArrow(passed, "class long, piece long")
 
 
-def _compared(table: pa.Table, percent: int, one_each: bool) -> tuple[list[int], list[int]]:
-    """Links between the queries and the members of one piece of a group."""
-    role, names = table["role"].to_numpy(), table["class"].to_numpy()
+def _compared(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links between the queries and the members of one piece that connect all roots that link."""
+    role, names, roots = (table[c].to_numpy() for c in ("role", "class", "root"))
     sets = [np.frombuffer(x.as_py(), U64) for x in table["data"]]
     members = np.flatnonzero(role == 0)
     out: tuple[list[int], list[int]] = ([], [])
@@ -195,6 +197,13 @@ def _compared(table: pa.Table, percent: int, one_each: bool) -> tuple[list[int],
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     union = np.unique(token)
+    above: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while root in above:
+            root = above[root]
+        return root
+
     for q in np.flatnonzero(role == 1):
         own = sets[q]
         at = np.minimum(np.searchsorted(union, own), len(union) - 1)
@@ -204,18 +213,21 @@ def _compared(table: pa.Table, percent: int, one_each: bool) -> tuple[list[int],
         low, high = np.searchsorted(token, shared), np.searchsorted(token, shared, side="right")
         spans = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
         both = np.bincount(owner[spans], minlength=len(members))
-        hits = np.flatnonzero((100 * both >= percent * (len(own) + size - both)) & (names[members] != names[q]))
-        for m in hits[:1] if one_each else hits:
-            out[0].append(int(names[q]))
-            out[1].append(int(names[members[m]]))
+        hits = members[(100 * both >= percent * (len(own) + size - both)) & (roots[members] != roots[q])]
+        for m in hits[np.unique(roots[hits], return_index=True)[1]]:
+            a, b = top(int(roots[q])), top(int(roots[m]))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                out[0].append(int(names[q]))
+                out[1].append(int(names[m]))
     return out
 
 
-def compare(pairs: DataFrame, sets: DataFrame, config: JaccardConfig, one_each: bool) -> DataFrame:
-    """a, b: the links among pairs (class: a query; piece; member rows have role 0). pairs: piece, lot, class, role."""
+def compare(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """a, b: links among pairs (piece, lot, class, root, role: 1 for queries, 0 for members)."""
 
     def linked(table: pa.Table) -> pa.Table:
-        a, b = _compared(table, config.percent, one_each)
+        a, b = _compared(table, config.percent)
         if table.num_rows > 64:
             give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -228,10 +240,13 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _lots(queries: DataFrame, members: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Pieces with their queries dealt into lots of about config.queries; the members go to each lot."""
+    """Pieces with their queries dealt into lots of about config.queries; the members go to each lot.
+
+    queries, members: class, piece, root (of the classes that links connect already).
+    """
     lots = queries.groupBy("piece").agg(F.ceil(F.count("*") / config.queries).cast("long").alias("lots"))
-    asked = queries.join(lots, "piece").select("piece", F.pmod(F.xxhash64("class"), "lots").alias("lot"), "class", F.lit(1).alias("role"))
-    held = members.join(lots, "piece").select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), "class", F.lit(0).alias("role"))
+    asked = queries.join(lots, "piece").select("piece", F.pmod(F.xxhash64("class"), "lots").alias("lot"), "class", "root", F.lit(1).alias("role"))
+    held = members.join(lots, "piece").select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), "class", "root", F.lit(0).alias("role"))
     return asked.unionByName(held)
 
 
@@ -249,42 +264,48 @@ def link(docs: DataFrame, config: JaccardConfig | None = None) -> tuple[DataFram
 
     sketch = counts(docs, hashes, width)
     firsts = prefix_tokens(docs, sketch, config)
-    stars = firsts.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"))
-    stars = written(stars.where("leader <> last").select("token", "leader"), "jaccard-stars")
+    stars = firsts.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.count("*").alias("held"))
+    stars = written(stars.where("leader <> last").drop("last"), "jaccard-stars")
     firsts = written(prefix_tokens(docs, sketch, config, Filter.of(stars, "token")).distinct().join(stars, "token"), "jaccard-tokens")
-    shared = firsts.groupBy("class").agg(F.first("n").alias("n"))
+    shared = firsts.groupBy("class").agg(F.first("n").alias("n"), F.max(F.struct("held", "token")).getField("token").alias("key"))
     reps = listed.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    reps = written(shared.join(reps, "class").select("class", "doc_id", "n"), "jaccard-shared")
+    reps = written(shared.join(reps, "class").select("class", "doc_id", "n", "key"), "jaccard-shared")
     signatures = written(sets_of(docs, reps.select("class", "doc_id"), config, signature), "jaccard-signatures")
 
-    def opened(queries: DataFrame, members: DataFrame, one_each: bool) -> DataFrame:
+    def opened(queries: DataFrame, members: DataFrame) -> DataFrame:
         """Links of the queries that pass the bound with the members of their pieces."""
-        asked = written(passing(queries, members, signatures, config), "jaccard-passed")
+        passed = passing(queries, members, signatures, config)
+        asked = written(passed.join(queries, ["class", "piece"]), "jaccard-passed")
         held = members.join(asked.select("piece").distinct(), "piece")
         wanted = asked.select("class").unionByName(held.select("class")).distinct().join(reps.select("class", "doc_id"), "class")
         sets = sets_of(docs, written(wanted, "jaccard-wanted"), config).drop("n")
-        return written(compare(_lots(asked, held, config), sets, config, one_each), "jaccard-links")
+        return written(compare(_lots(asked, held, config), sets, config), "jaccard-links")
 
     # Step 1: each class with the leaders of its tokens.
     near = firsts.where(F.col("class") != F.col("leader")).select("class", "n", F.col("leader").alias("piece")).distinct()
     near = near.join(reps.select(F.col("class").alias("piece"), F.col("n").alias("leader_n")), "piece")
-    near = written(near.where(_fits(F.col("n"), F.col("leader_n"), config.percent)).select("class", "piece"), "jaccard-leaders")
-    links = opened(near, near.select(F.col("piece").alias("class"), "piece").distinct(), one_each=False)
-
-    # Step 2: each class with the pieces of other groups in its tokens' rows.
-    group = components(links)
-    grouped = reps.join(group, F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("root", "class").alias("group"))
-    many = grouped.groupBy("group").agg(F.ceil(F.count("*") / config.piece).cast("long").alias("pieces"))
-    piece = F.when(F.col("pieces") == 1, F.col("group")).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("class"), "pieces")))
-    placed = written(grouped.join(many, "group").select("class", "n", "group", piece.alias("piece")), "jaccard-pieces")
-    held = firsts.select("token", "class").join(placed, "class")
-    matrix = held.groupBy("token", "piece", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = matrix.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("token")
+    near = near.where(_fits(F.col("n"), F.col("leader_n"), config.percent)).select("class", "piece", F.col("class").alias("root"))
+    near = written(near, "jaccard-leaders")
+    leaders = near.select("piece").distinct().select(F.col("piece").alias("class"), "piece", F.col("piece").alias("root"))
+    links = opened(near, leaders)
+
+    # Step 2: each class with the pieces in its tokens' rows.
+    connected = components(links)
+    rooted = reps.join(connected, F.col("class") == F.col("node"), "left").select("class", "n", "key", F.coalesce("root", "class").alias("root"))
+    many = reps.groupBy("key").agg(F.ceil(F.count("*") / config.piece).cast("long").alias("pieces"))
+    piece = F.when(F.col("pieces") == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("class"), "pieces")))
+    placed = written(rooted.join(many, "key").select("class", "n", "root", piece.alias("piece")), "jaccard-pieces")
+    amount = placed.groupBy("piece").agg(F.count("*").alias("amount"))
+    held = written(firsts.select("token", "class").join(placed.join(amount, "piece"), "class"), "jaccard-held")
+    matrix = held.groupBy("token", "piece", "amount").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "root") for f in (F.min, F.max)))
+    several = matrix.groupBy("token").agg(F.min("min_root").alias("g"), F.max("max_root").alias("h")).where("g <> h").select("token")
     matrix = written(matrix.join(several, "token"), "jaccard-matrix")
-    asking = held.select("token", "class", "n", F.col("group").alias("own")).join(matrix, "token")
-    fits = (F.col("high") * 100 >= F.col("n") * config.percent) & (F.col("n") * 100 >= F.col("low") * config.percent)
-    asked = written(asking.where((F.col("own") < F.col("group")) & fits).select("class", "piece").distinct(), "jaccard-queries")
-    more = opened(asked, placed.select("class", "piece"), one_each=True)
+    asking = held.select("token", "class", "n", "root", F.col("piece").alias("own"), F.col("amount").alias("own_amount")).join(matrix, "token")
+    fits = (F.col("max_n") * 100 >= F.col("n") * config.percent) & (F.col("n") * 100 >= F.col("min_n") * config.percent)
+    other = (F.col("min_root") != F.col("root")) | (F.col("max_root") != F.col("root"))
+    ahead = F.struct("own_amount", "own") <= F.struct("amount", "piece")
+    asked = written(asking.where(fits & other & ahead).select("class", "piece", "root").distinct(), "jaccard-queries")
+    more = opened(asked, placed.select("class", "piece", "root"))
     return listed, links.unionByName(more)
 
 
