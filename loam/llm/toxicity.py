@@ -5,8 +5,9 @@ insult with the mention of a group has a weight of its own, which no sum of sing
 are its distinct words (A-Z lowered), hashed into 2 ** bits buckets.
 
 The model is fitted on a bounded sample: at most `per_class` labelled texts of each class, the first in the order of a
-hash of their ids. Its terms are those that stand in at least `least_docs` texts of that sample. Everything else covers
-all rows.
+hash of their ids. Each class is counted over all training labels, and a sampled text weighs as much in the loss as the
+labels of its class that it stands for, so the threshold means the same at every size. The model's terms are those that
+stand in at least `least_docs` texts of that sample. Everything else covers all rows.
 
 Nulls and edges: a null text is empty; an empty text's score is sigmoid(b). Rows without an id or with a null label are
 not learnt from; where an id has several labels, the largest counts. Repeated documents are scored each for itself.
@@ -79,10 +80,14 @@ def distinct_terms(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarra
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def fit(terms: list[np.ndarray], label: np.ndarray, config: ToxicityConfig) -> Machine:
-    """AdaGrad on the log loss over mini-batches; weights shrink by l1 and l2, factors by l2."""
+def fit(terms: list[np.ndarray], label: np.ndarray, config: ToxicityConfig, stands_for: np.ndarray | None = None) -> Machine:
+    """AdaGrad on the log loss over mini-batches; weights shrink by l1 and l2, factors by l2.
+
+    stands_for: the number of labels that each text stands for in the loss; 1 by default.
+    """
     none = np.empty(0, np.int64)
-    rate = float(label.mean()) if len(label) else 0.0
+    share = np.ones(len(label)) if stands_for is None or not len(label) else stands_for / stands_for.mean()
+    rate = float((share * label).mean()) if len(label) else 0.0
     base = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     seen, count = np.unique(np.concatenate([none, *terms]), return_counts=True)
     known = seen[count >= config.least_docs]
@@ -104,7 +109,7 @@ def fit(terms: list[np.ndarray], label: np.ndarray, config: ToxicityConfig) -> M
             sums = np.stack([np.bincount(row, own[:, f], len(part)) for f in range(k)], 1)
             margin = model.bias + np.bincount(row, model.weight[term], len(part))
             margin += 0.5 * ((sums**2).sum(1) - np.bincount(row, (own**2).sum(1), len(part)))
-            slope = (sigmoid(margin) - label[part]) / len(part)
+            slope = share[part] * (sigmoid(margin) - label[part]) / len(part)
             touched, local = np.unique(term, return_inverse=True)
             push = slope[row]
             down_w = np.bincount(local, push, len(touched)) + config.l2 * model.weight[touched]
@@ -132,6 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = No
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("_toxic is not null")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
     first = [F.xxhash64("doc_id"), "doc_id"]
+    total = {r["_toxic"]: r["n"] for r in marks.where("_toxic in (0, 1)").groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    stands_for = {x: max(1.0, n / config.per_class) for x, n in total.items()}
     drawn = [marks.where(F.col("_toxic") == x).orderBy(*first).limit(config.per_class) for x in (0, 1)]
     sample = F.broadcast(drawn[0].unionByName(drawn[1]))
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
@@ -150,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = No
         rows = pd.concat([pd.DataFrame({"doc_id": [], "toxic": [], "terms": []}), *frames])
         rows = rows.sort_values(["doc_id", "terms"], kind="stable")
         terms = [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["terms"]]
-        m = fit(terms, rows["toxic"].to_numpy(float), config)
+        m = fit(terms, rows["toxic"].to_numpy(float), config, rows["toxic"].map(stands_for).to_numpy(float))
         yield pd.DataFrame({"bias": [m.bias], "known": [m.known.tobytes()], "weight": [m.weight.tobytes()], "factor": [m.factor.tobytes()]})
 
     sampled = rows.mapInArrow(hashed, "doc_id long, toxic int, terms binary").coalesce(1)
