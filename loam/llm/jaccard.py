@@ -27,8 +27,8 @@ A filter of fixed size over documents' ids picks the signatures and sets that tr
 
 Nulls and edges: a null or empty text, or one without words, has an empty set and links with nothing: it is its own
 component. A text of fewer than `size` words has its whole sequence as the one shingle. Rows with a null doc_id have a
-null component. Rows of one doc_id and other texts are documents of their own, whose components join in that id.
-Hashes have 64 bits. Other columns are ignored. An empty table gives no rows.
+null component. Rows of one doc_id and other texts are documents of their own, each with its own component; components
+are named by their smallest doc_id, so two that share that id share the name without being joined. Hashes have 64 bits. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ from .sketches import Filter, counts, rank_of
 from .storage import written
 from .words import SPACED_LOWER, U64, chunks, give_back, mix, rolling, words
 
+#: Stands for a null doc_id where classes are looked up by one of their documents.
+NO_ID = -1
+
 
 @dataclass(frozen=True)
 class JaccardConfig:
@@ -84,16 +87,18 @@ def _ids(batch: pa.RecordBatch, at: slice) -> pa.Array:
 
 
 def classes(docs: DataFrame, config: JaccardConfig) -> DataFrame:
-    """doc_id, n, class (0 for an empty set) of each document."""
+    """doc_id, n, class (0 for an empty set) of each document, and h if docs has it."""
+    more = [c for c in docs.columns if c == "h"]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch, "text"):
                 sets = shingle_sets(texts, config.size)
                 names = [class_of(x) if len(x) else 0 for x in sets]
-                yield pa.RecordBatch.from_arrays([_ids(batch, at), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n", "class"])
+                kept = [batch.column(c).slice(at.start, at.stop - at.start) for c in more]
+                yield pa.RecordBatch.from_arrays([_ids(batch, at), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64()), *kept], ["doc_id", "n", "class", *more])
 
-    return docs.mapInArrow(listed, "doc_id long, n long, class long")
+    return docs.mapInArrow(listed, ", ".join(["doc_id long, n long, class long", *(f"{c} long" for c in more)]))
 
 
 def prefix_tokens(docs: DataFrame, sketch: np.ndarray, config: JaccardConfig, only: Filter | None = None) -> DataFrame:
@@ -135,18 +140,30 @@ def signature(tokens: np.ndarray) -> bytes:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, config: JaccardConfig, of=lambda tokens: tokens.tobytes()) -> DataFrame:
-    """class, n, data (what `of` makes of the set) of the classes of wanted (class, doc_id: one of its documents)."""
+    """class, n, data (what `of` makes of the set) of the classes of wanted (class, doc_id: one of its documents, or NO_ID)."""
     only = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted, "doc_id"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id")
-            kept = batch.filter(pa.array(only.value.has(ids.fill_null(-1).to_numpy(zero_copy_only=False))))
+            kept = batch.filter(pa.array(only.value.has(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))))
             for at, texts in chunks(kept, "text"):
                 sets = shingle_sets(texts, config.size)
                 names = [class_of(x) if len(x) else 0 for x in sets]
-                columns = [_ids(kept, at), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([of(x) if len(x) else b"" for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "data"])
+                columns = [_ids(kept, at).fill_null(NO_ID), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([of(x) if len(x) else b"" for x in sets], pa.binary())]
+                told = pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "data"])
+                null = _ids(kept, at).is_null().to_pylist()
+                if any(null):  # null ids don't tell a class's copies apart; a task gives such a class once, as long as it remembers it
+                    once = []
+                    for name, x in zip(names, null, strict=True):
+                        once.append(not x or name not in seen)
+                        if x:
+                            seen.add(name)
+                    told = told.filter(pa.array(once))
+                    if len(seen) > 500_000:
+                        seen.clear()
+                yield told
 
     rows = docs.mapInArrow(read, "doc_id long, class long, n long, data binary")
     return rows.join(wanted, ["doc_id", "class"]).select("class", "n", "data").dropDuplicates(["class"])
@@ -250,11 +267,11 @@ def _lots(queries: DataFrame, members: DataFrame, config: JaccardConfig) -> Data
     return asked.unionByName(held)
 
 
-def link(docs: DataFrame, config: JaccardConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class of each document; a, b: links between classes that connect all that link)."""
+def link(docs: DataFrame, config: JaccardConfig | None = None, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class of each document, with hashed also h, its text's hash; a, b: links between classes that connect all that link)."""
     config = config or JaccardConfig()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    listed = written(classes(docs, config), "jaccard-classes")
+    listed = written(classes(docs.withColumn("h", _text_hash()) if hashed else docs, config), "jaccard-classes")
     total = listed.agg(F.sum("n").alias("n")).first().n or 0
     width = min(1 << 24, max(1 << 16, 1 << (total // 64).bit_length()))
 
@@ -268,7 +285,7 @@ def link(docs: DataFrame, config: JaccardConfig | None = None) -> tuple[DataFram
     stars = written(stars.where("leader <> last").drop("last"), "jaccard-stars")
     firsts = written(prefix_tokens(docs, sketch, config, Filter.of(stars, "token")).distinct().join(stars, "token"), "jaccard-tokens")
     shared = firsts.groupBy("class").agg(F.first("n").alias("n"), F.max(F.struct("held", "token")).getField("token").alias("key"))
-    reps = listed.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    reps = listed.where("class <> 0").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"))
     reps = written(shared.join(reps, "class").select("class", "doc_id", "n", "key"), "jaccard-shared")
     signatures = written(sets_of(docs, reps.select("class", "doc_id"), config, signature), "jaccard-signatures")
 
@@ -309,19 +326,41 @@ def link(docs: DataFrame, config: JaccardConfig | None = None) -> tuple[DataFram
     return listed, links.unionByName(more)
 
 
-def join(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
-    listed, links = link(docs, config)
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _least(listed: DataFrame, links: DataFrame, value: Column) -> DataFrame:
+    """class, component: the least value of the documents of each class's component."""
     group = components(links).select(F.col("node").alias("class"), "root")
-    own = listed.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    own = listed.where("class <> 0").groupBy("class").agg(F.min(value).alias("least"))
     rooted = own.join(group, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = written(rooted.join(best, "root").select("class", "component"), "jaccard-components")
+    return written(rooted.join(best, "root").select("class", "component"), "jaccard-components")
+
+
+def join(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document."""
+    listed, links = link(docs, config)
+    named = _least(listed, links, F.col("doc_id"))
     return listed.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, or null: one document of each group stays."""
-    found = join(docs.select("doc_id", "text"), config).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(found, "jaccard-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of docs of each component, that of the smallest doc_id (nulls last), then of the smallest hash of the text.
+
+    Of rows that agree in both any one stays. Rows with an empty set link with nothing, and all stay.
+    """
+    listed, links = link(docs.select("doc_id", "text"), config, hashed=True)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    named = _least(listed, links, row)
+    told = listed.join(named, "class").select("doc_id", "h", (row == F.col("component")).alias("first"))
+    told = told.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.first("first").alias("_first"), F.count("*").alias("_n"))
+    gone = written(told.where("not _first or _n > 1"), "jaccard-gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_h"))
+    rest = docs.join(gone, same, "left_anti")
+    repeated = gone.where("_first")
+    if repeated.isEmpty():
+        return rest
+    once = docs.join(repeated, same, "left_semi").withColumn("_h", _text_hash()).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return rest.unionByName(once)
