@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketches import Filter, counts, rank_of
-from .storage import written
+from .storage import scratch, shared, written
 from .words import SPACED_LOWER, U64, chunks, give_back, mix, rolling, words
 
 #: Stands for a null doc_id where classes are looked up by one of their documents.
@@ -103,11 +103,10 @@ def classes(docs: DataFrame, config: JaccardConfig) -> DataFrame:
 
 def prefix_tokens(docs: DataFrame, sketch: np.ndarray, config: JaccardConfig, only: Filter | None = None) -> DataFrame:
     """token, class, n of each class's first tokens; a task gives a class once, as long as it remembers it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((sketch, only))
+    both = shared(docs.sparkSession, (sketch, only))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, wanted = shared.value
+        ranks, wanted = both.value
         seen: set[int] = set()
         for batch in batches:
             for _, texts in chunks(batch, "text"):
@@ -140,65 +139,67 @@ def signature(tokens: np.ndarray) -> bytes:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, config: JaccardConfig, of=lambda tokens: tokens.tobytes()) -> DataFrame:
-    """class, n, data (what `of` makes of the set) of the classes of wanted (class, doc_id: one of its documents, or NO_ID)."""
-    only = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted, "doc_id"))
+    """class, data (what `of` makes of the set), once for each class of wanted (class, doc_id: one of its documents, or NO_ID).
+
+    A few other classes that the filters let through come along; joins on the class drop them.
+    """
+    only = shared(docs.sparkSession, (Filter.of(wanted, "doc_id"), Filter.of(wanted, "class")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id")
-            kept = batch.filter(pa.array(only.value.has(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))))
-            for at, texts in chunks(kept, "text"):
-                sets = shingle_sets(texts, config.size)
-                names = [class_of(x) if len(x) else 0 for x in sets]
-                columns = [_ids(kept, at).fill_null(NO_ID), pa.array(names, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([of(x) if len(x) else b"" for x in sets], pa.binary())]
-                told = pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "data"])
-                null = _ids(kept, at).is_null().to_pylist()
-                if any(null):  # null ids don't tell a class's copies apart; a task gives such a class once, as long as it remembers it
-                    once = []
-                    for name, x in zip(names, null, strict=True):
-                        once.append(not x or name not in seen)
-                        if x:
-                            seen.add(name)
-                    told = told.filter(pa.array(once))
-                    if len(seen) > 500_000:
-                        seen.clear()
-                yield told
-
-    rows = docs.mapInArrow(read, "doc_id long, class long, n long, data binary")
-    return rows.join(wanted, ["doc_id", "class"]).select("class", "n", "data").dropDuplicates(["class"])
-
-
-def _passing(table: pa.Table, percent: int) -> list[int]:
-    """The queries that the signatures' bound lets through to some class of one piece, of another root."""
+            documents, named = only.value
+            kept = batch.filter(pa.array(documents.has(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))))
+            for _, texts in chunks(kept, "text"):
+                sets = [x for x in shingle_sets(texts, config.size) if len(x)]
+                names = np.array([class_of(x) for x in sets], np.int64)
+                fresh = []
+                for i in np.flatnonzero(named.has(names)):  # a task gives a class once, as long as it remembers it
+                    if int(names[i]) not in seen:
+                        seen.add(int(names[i]))
+                        fresh.append(i)
+                if len(seen) > 500_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(names[fresh]), pa.array([of(sets[i]) for i in fresh], pa.binary())], ["class", "data"])
+
+    return docs.mapInArrow(read, "class long, data binary").dropDuplicates(["class"])
+
+
+def _passing(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """The queries that the signatures' bound lets through to some class of one piece, of another root; and those classes."""
     role, names, sizes, roots = (table[c].to_numpy() for c in ("role", "class", "n", "root"))
     bits = [np.frombuffer(x.as_py(), np.uint64) for x in table["data"]]
-    kinds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    kinds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for width in {len(bits[m]) for m in np.flatnonzero(role == 0)}:
-        some = [m for m in np.flatnonzero(role == 0) if len(bits[m]) == width]
-        kinds[width] = np.stack([bits[m] for m in some]), sizes[some], roots[some]
-    out = []
+        some = np.array([m for m in np.flatnonzero(role == 0) if len(bits[m]) == width])
+        kinds[width] = np.stack([bits[m] for m in some]), some
+    asking, held = [], np.zeros(len(role), bool)
     for q in np.flatnonzero(role == 1):
-        for width, (held, n, of) in kinds.items():
+        any_ = False
+        for width, (sets, at) in kinds.items():
             both = min(width, len(bits[q]))  # the wider one folds onto the narrower
             own = np.bitwise_xor.reduce(bits[q].reshape(-1, both), axis=0)
-            apart = np.bitwise_count(np.bitwise_xor.reduce(held.reshape(len(held), -1, both), axis=1) ^ own).sum(axis=1).astype(np.int64)
-            most = (n + sizes[q] - apart) // 2
-            if ((100 * most >= percent * (n + sizes[q] - most)) & (of != roots[q])).any():
-                out.append(int(names[q]))
-                break
-    return out
+            apart = np.bitwise_count(np.bitwise_xor.reduce(sets.reshape(len(sets), -1, both), axis=1) ^ own).sum(axis=1).astype(np.int64)
+            most = np.minimum((sizes[at] + sizes[q] - apart) // 2, np.minimum(sizes[at], sizes[q]))
+            fits = at[(100 * most >= percent * (sizes[at] + sizes[q] - most)) & (roots[at] != roots[q])]
+            held[fits] = True
+            any_ |= len(fits) > 0
+        if any_:
+            asking.append(int(names[q]))
+    return asking, names[held].tolist()
 
 
 def passing(queries: DataFrame, members: DataFrame, signatures: DataFrame, config: JaccardConfig) -> DataFrame:
-    """The class and piece of the queries that the signatures' bound lets through to a piece of members."""
+    """class, piece, role: the queries (1) that the signatures' bound lets through to a piece, and the members (0) it lets them meet."""
 
     def passed(key: tuple, table: pa.Table) -> pa.Table:
-        found = _passing(table, config.percent)
-        return pa.table({"class": pa.array(found, pa.int64()), "piece": pa.array([key[0].as_py()] * len(found), pa.int64())})
+        asking, held = _passing(table, config.percent)
+        n = len(asking) + len(held)
+        return pa.table({"class": pa.array(asking + held, pa.int64()), "piece": pa.array([key[0].as_py()] * n, pa.int64()), "role": pa.array([1] * len(asking) + [0] * len(held), pa.int32())})
 
     dealt = _lots(queries, members, config).join(signatures, "class")
-    return dealt.groupBy("piece", "lot").applyInArrow(passed, "class long, piece long")
+    return dealt.groupBy("piece", "lot").applyInArrow(passed, "class long, piece long, role int").distinct()
 
 
 def _compared(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
@@ -271,58 +272,60 @@ def link(docs: DataFrame, config: JaccardConfig | None = None, hashed: bool = Fa
     """(doc_id, n, class of each document, with hashed also h, its text's hash; a, b: links between classes that connect all that link)."""
     config = config or JaccardConfig()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    listed = written(classes(docs.withColumn("h", _text_hash()) if hashed else docs, config), "jaccard-classes")
-    total = listed.agg(F.sum("n").alias("n")).first().n or 0
-    width = min(1 << 24, max(1 << 16, 1 << (total // 64).bit_length()))
-
-    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, texts in chunks(batch, "text"):
-            yield np.concatenate([np.empty(0, U64), *shingle_sets(texts, config.size)])
-
-    sketch = counts(docs, hashes, width)
-    firsts = prefix_tokens(docs, sketch, config)
-    stars = firsts.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.count("*").alias("held"))
-    stars = written(stars.where("leader <> last").drop("last"), "jaccard-stars")
-    firsts = written(prefix_tokens(docs, sketch, config, Filter.of(stars, "token")).distinct().join(stars, "token"), "jaccard-tokens")
-    shared = firsts.groupBy("class").agg(F.first("n").alias("n"), F.max(F.struct("held", "token")).getField("token").alias("key"))
-    reps = listed.where("class <> 0").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"))
-    reps = written(shared.join(reps, "class").select("class", "doc_id", "n", "key"), "jaccard-shared")
-    signatures = written(sets_of(docs, reps.select("class", "doc_id"), config, signature), "jaccard-signatures")
-
-    def opened(queries: DataFrame, members: DataFrame) -> DataFrame:
-        """Links of the queries that pass the bound with the members of their pieces."""
-        passed = passing(queries, members, signatures, config)
-        asked = written(passed.join(queries, ["class", "piece"]), "jaccard-passed")
-        held = members.join(asked.select("piece").distinct(), "piece")
-        wanted = asked.select("class").unionByName(held.select("class")).distinct().join(reps.select("class", "doc_id"), "class")
-        sets = sets_of(docs, written(wanted, "jaccard-wanted"), config).drop("n")
-        return written(compare(_lots(asked, held, config), sets, config), "jaccard-links")
-
-    # Step 1: each class with the leaders of its tokens.
-    near = firsts.where(F.col("class") != F.col("leader")).select("class", "n", F.col("leader").alias("piece")).distinct()
-    near = near.join(reps.select(F.col("class").alias("piece"), F.col("n").alias("leader_n")), "piece")
-    near = near.where(_fits(F.col("n"), F.col("leader_n"), config.percent)).select("class", "piece", F.col("class").alias("root"))
-    near = written(near, "jaccard-leaders")
-    leaders = near.select("piece").distinct().select(F.col("piece").alias("class"), "piece", F.col("piece").alias("root"))
-    links = opened(near, leaders)
-
-    # Step 2: each class with the pieces in its tokens' rows.
-    connected = components(links)
-    rooted = reps.join(connected, F.col("class") == F.col("node"), "left").select("class", "n", "key", F.coalesce("root", "class").alias("root"))
-    many = reps.groupBy("key").agg(F.ceil(F.count("*") / config.piece).cast("long").alias("pieces"))
-    piece = F.when(F.col("pieces") == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("class"), "pieces")))
-    placed = written(rooted.join(many, "key").select("class", "n", "root", piece.alias("piece")), "jaccard-pieces")
-    amount = placed.groupBy("piece").agg(F.count("*").alias("amount"))
-    held = written(firsts.select("token", "class").join(placed.join(amount, "piece"), "class"), "jaccard-held")
-    matrix = held.groupBy("token", "piece", "amount").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "root") for f in (F.min, F.max)))
-    several = matrix.groupBy("token").agg(F.min("min_root").alias("g"), F.max("max_root").alias("h")).where("g <> h").select("token")
-    matrix = written(matrix.join(several, "token"), "jaccard-matrix")
-    asking = held.select("token", "class", "n", "root", F.col("piece").alias("own"), F.col("amount").alias("own_amount")).join(matrix, "token")
-    fits = (F.col("max_n") * 100 >= F.col("n") * config.percent) & (F.col("n") * 100 >= F.col("min_n") * config.percent)
-    other = (F.col("min_root") != F.col("root")) | (F.col("max_root") != F.col("root"))
-    ahead = F.struct("own_amount", "own") <= F.struct("amount", "piece")
-    asked = written(asking.where(fits & other & ahead).select("class", "piece", "root").distinct(), "jaccard-queries")
-    more = opened(asked, placed.select("class", "piece", "root"))
+    with scratch(docs.sparkSession) as own:
+        listed = written(classes(docs.withColumn("h", _text_hash()) if hashed else docs, config), "jaccard-classes")
+        total = listed.agg(F.sum("n").alias("n")).first().n or 0
+        width = min(1 << 24, max(1 << 16, 1 << (total // 64).bit_length()))
+
+        def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for _, texts in chunks(batch, "text"):
+                yield np.concatenate([np.empty(0, U64), *shingle_sets(texts, config.size)])
+
+        sketch = counts(docs, hashes, width)
+        firsts = prefix_tokens(docs, sketch, config)
+        stars = firsts.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.count("*").alias("held"))
+        stars = written(stars.where("leader <> last").drop("last"), "jaccard-stars")
+        firsts = written(prefix_tokens(docs, sketch, config, Filter.of(stars, "token")).distinct().join(stars, "token"), "jaccard-tokens")
+        several = firsts.groupBy("class").agg(F.first("n").alias("n"), F.max(F.struct("held", "token")).getField("token").alias("key"))
+        reps = listed.where("class <> 0").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"))
+        reps = written(several.join(reps, "class").select("class", "doc_id", "n", "key"), "jaccard-shared")
+        signatures = sets_of(docs, reps.select("class", "doc_id"), config, signature).join(reps.select("class", "n"), "class")
+        signatures = written(signatures, "jaccard-signatures")
+
+        def opened(queries: DataFrame, members: DataFrame) -> DataFrame:
+            """Links of the queries that pass the bound with the members of their pieces."""
+            passed = written(passing(queries, members, signatures, config), "jaccard-passed")
+            asked, held = (x.join(passed.where(F.col("role") == r).drop("role"), ["class", "piece"]) for x, r in ((queries, 1), (members, 0)))
+            wanted = passed.select("class").distinct().join(reps.select("class", "doc_id"), "class")
+            sets = sets_of(docs, written(wanted, "jaccard-wanted"), config)
+            return written(compare(_lots(asked, held, config), sets, config), "jaccard-links")
+
+        # Step 1: each class with the leaders of its tokens.
+        near = firsts.where(F.col("class") != F.col("leader")).select("class", "n", F.col("leader").alias("piece")).distinct()
+        near = near.join(reps.select(F.col("class").alias("piece"), F.col("n").alias("leader_n")), "piece")
+        near = near.where(_fits(F.col("n"), F.col("leader_n"), config.percent)).select("class", "piece", F.col("class").alias("root"))
+        near = written(near, "jaccard-leaders")
+        leaders = near.select("piece").distinct().select(F.col("piece").alias("class"), "piece", F.col("piece").alias("root"))
+        links = opened(near, leaders)
+
+        # Step 2: each class with the pieces in its tokens' rows.
+        connected = components(links)
+        rooted = reps.join(connected, F.col("class") == F.col("node"), "left").select("class", "n", "key", F.coalesce("root", "class").alias("root"))
+        many = reps.groupBy("key").agg(F.ceil(F.count("*") / config.piece).cast("long").alias("pieces"))
+        piece = F.when(F.col("pieces") == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("class"), "pieces")))
+        placed = written(rooted.join(many, "key").select("class", "n", "root", piece.alias("piece")), "jaccard-pieces")
+        amount = placed.groupBy("piece").agg(F.count("*").alias("amount"))
+        held = written(firsts.select("token", "class").join(placed.join(amount, "piece"), "class"), "jaccard-held")
+        matrix = held.groupBy("token", "piece", "amount").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "root") for f in (F.min, F.max)))
+        several = matrix.groupBy("token").agg(F.min("min_root").alias("g"), F.max("max_root").alias("h")).where("g <> h").select("token")
+        matrix = written(matrix.join(several, "token"), "jaccard-matrix")
+        asking = held.select("token", "class", "n", "root", F.col("piece").alias("own"), F.col("amount").alias("own_amount")).join(matrix, "token")
+        fits = (F.col("max_n") * 100 >= F.col("n") * config.percent) & (F.col("n") * 100 >= F.col("min_n") * config.percent)
+        other = (F.col("min_root") != F.col("root")) | (F.col("max_root") != F.col("root"))
+        ahead = F.struct("own_amount", "own") <= F.struct("amount", "piece")
+        asked = written(asking.where(fits & other & ahead).select("class", "piece", "root").distinct(), "jaccard-queries")
+        more = opened(asked, placed.select("class", "piece", "root"))
+        own.keep(listed, links, more)
     return listed, links.unionByName(more)
 
 
@@ -341,8 +344,10 @@ def _least(listed: DataFrame, links: DataFrame, value: Column) -> DataFrame:
 
 def join(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    listed, links = link(docs, config)
-    named = _least(listed, links, F.col("doc_id"))
+    with scratch(docs.sparkSession) as own:
+        listed, links = link(docs, config)
+        named = _least(listed, links, F.col("doc_id"))
+        own.keep(listed, named)
     return listed.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -351,12 +356,14 @@ def keep_one(docs: DataFrame, config: JaccardConfig | None = None) -> DataFrame:
 
     Of rows that agree in both any one stays. Rows with an empty set link with nothing, and all stay.
     """
-    listed, links = link(docs.select("doc_id", "text"), config, hashed=True)
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    named = _least(listed, links, row)
-    told = listed.join(named, "class").select("doc_id", "h", (row == F.col("component")).alias("first"))
-    told = told.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.first("first").alias("_first"), F.count("*").alias("_n"))
-    gone = written(told.where("not _first or _n > 1"), "jaccard-gone")
+    with scratch(docs.sparkSession) as own:
+        listed, links = link(docs.select("doc_id", "text"), config, hashed=True)
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+        named = _least(listed, links, row)
+        told = listed.join(named, "class").select("doc_id", "h", (row == F.col("component")).alias("first"))
+        told = told.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.first("first").alias("_first"), F.count("*").alias("_n"))
+        gone = written(told.where("not _first or _n > 1"), "jaccard-gone")
+        own.keep(gone)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_h"))
     rest = docs.join(gone, same, "left_anti")
     repeated = gone.where("_first")
