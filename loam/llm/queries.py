@@ -85,7 +85,30 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS text FRO
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+_SPACED = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+# Classes of equal sets, links between classes, and all that links reach.
+_OP7 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) END AS s FROM d),
+c AS (SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 0 THEN md5(CAST(list_sort(list_transform(s, lambda x: md5(array_to_string(x, ' ')))) AS VARCHAR)) END AS class FROM s),
+sh AS MATERIALIZED (SELECT class, n, unnest(s) AS x FROM (SELECT class, any_value(n) AS n, any_value(s) AS s FROM c WHERE n > 0 GROUP BY class)),
+link AS MATERIALIZED (SELECT a.class AS a, b.class AS b FROM sh a JOIN sh b USING (x) WHERE a.class <> b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.class, b.class HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+own AS (SELECT class, min(doc_id) AS least FROM c WHERE n > 0 GROUP BY class),
+named AS (SELECT o.class, least(o.least, min(x.least)) AS component FROM own o LEFT JOIN reach ON reach.a = o.class LEFT JOIN own x ON x.class = reach.b GROUP BY o.class, o.least)
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM c LEFT JOIN named USING (class)"""
+
+# Sources that reach twice their size, in the order in which a rising share fills them; then the seeded order of documents.
+_OP10 = f"""WITH d AS (SELECT doc_id, source, CAST(len({_SPACED.format("coalesce(text, '')")}) AS BIGINT) AS size, substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS place FROM documents),
+s AS (SELECT source, sum(size) AS n FROM d GROUP BY source),
+o AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM s),
+f AS (SELECT *, (sum(n) OVER () * 150 / 100.0::DOUBLE - coalesce(sum(2 * n) OVER r, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER r, 0)) * w > 2 * n AS filled FROM o WINDOW r AS (ORDER BY 2.0 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, CAST(n AS BIGINT) AS n, CAST(CASE WHEN filled THEN 2 * n ELSE (sum(n) OVER () * 150 / 100.0::DOUBLE - coalesce(sum(2 * n) FILTER (filled) OVER (), 0)) / sum(w) FILTER (NOT filled) OVER () * w END AS DOUBLE) AS target FROM f),
+g AS (SELECT *, least(2 * n, CAST(floor(target + 0.5) AS BIGINT)) AS given FROM t),
+p AS (SELECT d.*, n, target, given // greatest(n, 1) AS times, given % greatest(n, 1) AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY place) - sum(size) OVER (PARTITION BY d.source, place) AS before, count(*) FILTER (size > 0) OVER (PARTITION BY d.source, place) AS same FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, n AS source_size, target, CAST(size * times + greatest(0, least(size, (rest - before) // greatest(same, 1))) AS BIGINT) AS taken FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The other operators hold a trained model, a keyed or seeded choice, components of a graph or base32 digests;
-    they are tested against brute force."""
-    return {"op1_exact_topk": _OP1, "op4_decontamination": _OP4, "op8_substring_dedup": _OP8}
+    """The others hold a trained model or a keyed choice, which SQL can't express; they are tested against brute force."""
+    return {"op1_exact_topk": _OP1, "op4_decontamination": _OP4, "op7_ngram_jaccard": _OP7, "op8_substring_dedup": _OP8, "op10_mixing": _OP10}

@@ -215,11 +215,29 @@ def test_warc(spark):
     assert got == expected
 
 
-def test_license_scan(docs, empty, texts):
-    got = by_id(licenses.scan(docs), "n_words", "n_base", "labels", "score")
-    assert all(x[1:] == (0, "", 0.0) for x in got.values())
-    assert got[14][0] == 5
+LICENSED = ["Under the MIT License. cc by nc, under the mit license", "apache license, version 2.0 apache license", "under the mit", "the license", "a b a b a", "CC by nc cc BY nc", "MIT", "", None]
+
+
+@pytest.mark.parametrize("phrases", [licenses.PHRASES, {"mit license": "two", "Apache": "one", "a b a": "odd", "under the mit license": "four"}])
+def test_license_scan(spark, docs, empty, phrases):
+    """Places against a plain search of each phrase at each word."""
+    rows = [(i, t, "x") for i, t in enumerate(LICENSED)] + [(None, LICENSED[0], "y"), (0, LICENSED[0], "x"), (50, "word " * 70_000 + LICENSED[0], "z")]
+    more = docs.select("doc_id", "text", "seq").collect()
+    table = spark.createDataFrame(rows + [(r.doc_id + 100, r.text, r.seq) for r in more], "doc_id long, text string, labels string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    expected = []
+    for i, text, *_ in table.collect():
+        w = word.findall((text or "").translate(LOWER))
+        sought = {tuple(p.lower().split()): x for p, x in phrases.items()}
+        at = [(k, x) for p, x in sought.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
+        expected.append((i, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    got = licenses.scan(table, phrases=phrases).collect()
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(expected, key=str)
+    assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score == 1) >= (r.n_base > 0) for r in got if r.n_base)
     assert licenses.scan(empty).count() == 0
+    with pytest.raises(ValueError, match="word"):
+        licenses.scan(table, phrases={"--": "none"})
 
 
 PEOPLE = [
