@@ -47,7 +47,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    read = warc.round_trip(_table(spark, sf_dir, "pages"), html=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -98,6 +98,13 @@ own AS (SELECT class, min(doc_id) AS least FROM c WHERE n > 0 GROUP BY class),
 named AS (SELECT o.class, least(o.least, min(x.least)) AS component FROM own o LEFT JOIN reach ON reach.a = o.class LEFT JOIN own x ON x.class = reach.b GROUP BY o.class, o.least)
 SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM c LEFT JOIN named USING (class)"""
 
+# Base32: four signs of five bits for each five hex digits.
+_SIGN = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) >> {0}) & 31) + 1, 1)"
+_OP9 = f"""WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages),
+r AS (SELECT *, CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda i: {" || ".join(_SIGN.format(k) for k in (15, 10, 5, 0))}), '') AS payload_digest,
+CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
 # Sources that reach twice their size, in the order in which a rising share fills them; then the seeded order of documents.
 _OP10 = f"""WITH d AS (SELECT doc_id, source, CAST(len({_SPACED.format("coalesce(text, '')")}) AS BIGINT) AS size, substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS place FROM documents),
 s AS (SELECT source, sum(size) AS n FROM d GROUP BY source),
@@ -111,4 +118,4 @@ SELECT doc_id, size, n AS source_size, target, CAST(size * times + greatest(0, l
 
 def oracle_sql() -> dict[str, str]:
     """The others hold a trained model or a keyed choice, which SQL can't express; they are tested against brute force."""
-    return {"op1_exact_topk": _OP1, "op4_decontamination": _OP4, "op7_ngram_jaccard": _OP7, "op8_substring_dedup": _OP8, "op10_mixing": _OP10}
+    return {"op1_exact_topk": _OP1, "op4_decontamination": _OP4, "op7_ngram_jaccard": _OP7, "op8_substring_dedup": _OP8, "op9_warc": _OP9, "op10_mixing": _OP10}

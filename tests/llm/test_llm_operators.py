@@ -198,21 +198,58 @@ def test_topk(spark):
     assert topk.search(table.where("false"), F.lit(True)).count() == 0
 
 
-def test_warc(spark):
-    rows = [(i, f"http://x/{i}", h, "z") for i, h in enumerate(["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc", "\r\n", "<p>a</p>", "b" * 100_000])] + [(20, None, "u", ""), (None, "v", "w", "")]
+def round_tripped(spark, rows, html=True):
     table = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string")
-    largest = {}
+    return [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html) for r in warc.round_trip(table, html=html).collect()]
+
+
+def expected_records(rows, html=True):
+    largest, out = {}, []
     for i, _, h, _ in rows:
-        if i is not None:
-            largest[h or ""] = max(i, largest.get(h or "", i))
-    expected = {}
+        largest[h or ""] = max((x for x in (i, largest.get(h or "")) if x is not None), default=None)
     for i, _, h, _ in rows:
-        if i is not None:
-            body = (h or "").encode()
-            other = largest[h or ""] != i
-            expected[i] = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if other else "response", largest[h or ""] if other else None, None if other else h or ""
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html) for r in warc.round_trip(table).collect()}
-    assert got == expected
+        body, top = (h or "").encode(), largest[h or ""]
+        other = top is not None and top != i
+        out.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if other else "response", top if other else None, None if other or not html else h or ""))
+    return out
+
+
+INNER = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:loam:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+PAYLOADS = ["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc", "\r\n", "<p>a</p>", "b" * 100_000, INNER, "x" + INNER * 3 + "WARC/1.0\r\n", "WARC/1.0\r\n" * 5, "\r\n\r\n" + INNER]
+
+
+def test_warc(spark):
+    rows = [(i, f"http://x/{i}", h, "z") for i, h in enumerate(PAYLOADS)] + [(20, None, "u", ""), (None, "v", "w", ""), (None, "v", "w", ""), (None, "t\x00\r\n ", "<p>a</p>", ""), (7, "again", "b" * 100_000, ""), (3, "other", "other", "")]
+    assert sorted(round_tripped(spark, rows), key=str) == sorted(expected_records(rows), key=str)
+    assert sorted(round_tripped(spark, rows, html=False), key=str) == sorted(expected_records(rows, html=False), key=str)
+    assert round_tripped(spark, []) == []
+    urls = {r.page_id: r.url for r in warc.round_trip(spark.createDataFrame([(1, "a\r\nb c", "x"), (2, None, "y")], "page_id long, url string, html string")).collect()}
+    assert urls == {1: "a%0D%0Ab%20c", 2: ""}
+
+
+def test_warc_over_many_ranges(spark):
+    """One archive of far more than a task's byte range, with magic and whole records inside payloads that cross ranges."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        body = "".join(rng.choice(["p" * 700, INNER, "WARC/1.0\r\n", "é" * 300, "\r\n\r\n"], rng.integers(0, 12)))
+        rows.append((i, f"http://x/{i}", body if i % 50 else INNER * 400, ""))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string").coalesce(1)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "16384")
+        got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html) for r in warc.round_trip(table).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(got, key=str) == sorted(expected_records(rows), key=str)
+
+
+def test_broken_archives_are_errors(spark, tmp_path):
+    (tmp_path / "part-0").write_bytes(INNER.encode() + b"x")
+    with pytest.raises(ValueError, match="chain"):
+        warc.read(spark, str(tmp_path)).collect()
 
 
 LICENSED = ["Under the MIT License. cc by nc, under the mit license", "apache license, version 2.0 apache license", "under the mit", "the license", "a b a b a", "CC by nc cc BY nc", "MIT", "", None]
