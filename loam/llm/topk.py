@@ -1,8 +1,12 @@
 """Exact top-k search by inner product over integer vectors.
 
 Vectors are turned by an orthogonal matrix, the eigenvectors of the sum of all outer products, so that the first few
-components hold most of each vector's length. Candidates are dealt into blocks so that each block runs from long to
-short. A query looks at a block's vectors by descending length and stops where |q| |x| can't reach its k-th best score.
+components hold most of each vector's length. Candidates are dealt into bands by length, bounds of which are quantiles
+of all lengths, and bands into blocks of bounded size. The longest band comes first: each query meets its blocks, and its
+k-th best score there is a floor. Of the other bands a query visits only those whose longest vector can still reach that
+floor, and only blocks and queries that visit each other travel.
+
+Within a block a query looks at vectors by descending length and stops where |q| |x| can't reach its k-th best score.
 Before that, the partial sum over the first turned components plus |rest of q| |rest of x| (Cauchy-Schwarz) bounds each
 product; only products whose bound can reach the k-th best are made in full, from the integers themselves.
 
@@ -12,7 +16,7 @@ of them meet blocks of all vectors; what leaves a task is at most k rows of each
 Nulls and edges: vectors that are null, or hold a null or a component that isn't finite, take no part, nor do rows with
 a null id. Shorter vectors count as if filled up with zeros; an empty vector is the zero vector. Ties go to the smaller
 id. Rows of one id are candidates each; none of them is a candidate of a query of that id, and a query id with several
-vectors gives no more than k ranks, over all its vectors. Components of 2 ** 26 or more are multiplied as Python
+vectors gives no more than k ranks, over all its vectors. Where sums of products may pass 2 ** 53 they are made of Python
 integers; a score beyond a long becomes the nearest long. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -25,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import scratch, written
 
-#: Up to this size, and 2 ** 10 components, sums of products are exact in doubles.
-_EXACT = float(1 << 21)
+#: Up to this size sums of products are exact in doubles.
+_EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
 
 
@@ -74,15 +78,20 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _fits(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether doubles hold all sums of products of rows of q and x."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < _EXACT
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row inner products of whole numbers, exact; object numbers if doubles can't hold them."""
-    if max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) < _EXACT:
+    if _fits(q, x):
         return np.einsum("ij,ij->i", q, x)
     return np.array([max(-_LONG - 1, min(_LONG, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in zip(q, x, strict=True)], object)
 
 
-def block_top(queries: np.ndarray, qid: np.ndarray, items: np.ndarray, iid: np.ndarray, turn: np.ndarray, k: int, head: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, item id, score) of at least each query's k best items of this block."""
+def block_top(queries: np.ndarray, qid: np.ndarray, items: np.ndarray, iid: np.ndarray, turn: np.ndarray, k: int, head: int, step: int = 1024, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, item id, score) of at least those of each query's k best items of this block that reach its floor."""
     order = np.argsort(-np.einsum("ij,ij->i", items, items), kind="stable")
     items, iid = items[order], iid[order]
     q_turned, x_turned = queries @ turn, items @ turn
@@ -90,8 +99,8 @@ def block_top(queries: np.ndarray, qid: np.ndarray, items: np.ndarray, iid: np.n
     q_rest = np.sqrt((q_turned[:, head:] ** 2).sum(1))
     x_rest = np.sqrt((x_turned[:, head:] ** 2).sum(1))
     slack = 1e-9 * (1 + q_len)
-    least = np.full(len(queries), -np.inf)
-    small = max(np.abs(queries).max(initial=0), np.abs(items).max(initial=0)) < _EXACT
+    least = np.full(len(queries), -np.inf) if floor is None else floor.copy()
+    small = _fits(queries, items)
     held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     for begin in range(0, len(items), step):
         part = slice(begin, begin + step)
@@ -121,29 +130,63 @@ def block_top(queries: np.ndarray, qid: np.ndarray, items: np.ndarray, iid: np.n
         keep = place < k
         held = number[keep], ids[keep], score[keep]
         last = place == k - 1
-        least[number[last]] = score[last].astype(float)
+        least[number[last]] = np.maximum(least[number[last]], score[last].astype(float))
     return held
 
 
+def bands(rows: DataFrame, n: int, items_a_block: int, most: int = 64) -> DataFrame:
+    """band (from 0, the longest), longest (its largest squared length), n, blocks; at most `most` rows."""
+    many = min(most, -(-n // items_a_block))
+    marks = rows.agg(F.percentile_approx("norm2", [1 - (i + 1) / many for i in range(many - 1)], 10_000).alias("marks")).first().marks if many > 1 else []
+    marks = [x for x in dict.fromkeys(marks or []) if x is not None]
+    number = sum((F.when(F.col("norm2") < x, 1).otherwise(0) for x in marks), F.lit(0)).cast("int")
+    counted = rows.withColumn("band", number).groupBy("band").agg(F.max("norm2").alias("longest"), F.count("*").alias("n"), F.min("norm2").alias("shortest"))
+    return counted.withColumn("blocks", F.ceil(F.col("n") / items_a_block).cast("int"))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, head: int = 16, items_a_block: int = 16384, queries_a_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products."""
-    rows = written(as_integers(vectors, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "topk-vectors")
-    told = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max("dim").alias("dim")).first()
-    dim = max(told.dim or 1, 1)
-    turn = rotation(rows, dim)
-    grid, across = -(-told.n // items_a_block) or 1, -(-told.q // queries_a_block) or 1
-    deal = F.pmod(F.xxhash64("vec_id", "norm2"), F.lit(grid)).cast("int")  # each block gets long and short vectors alike
-    items = rows.select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("h"), deal.alias("g"), "vec_id", "vector")
-    asked = rows.where("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("int").alias("h"), "vec_id", "vector")
-
-    def top(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, x = _matrix(left["vector"].combine_chunks(), dim), _matrix(right["vector"].combine_chunks(), dim)
-        qid, iid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        number, ids, score = block_top(q, qid, x, iid, turn, k, min(head, dim))
-        return pa.table({"query_id": qid[number], "vec_id": ids.astype(np.int64), "score": score.astype(np.int64)})
-
-    cell = F.col("g") * across + F.col("h")
-    pairs = asked.select(cell.alias("cell"), "vec_id", "vector").groupBy("cell").cogroup(items.select(cell.alias("cell"), "vec_id", "vector").groupBy("cell"))
-    found = pairs.applyInArrow(top, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    with scratch(spark) as own:
+        rows = written(as_integers(vectors, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "topk-vectors")
+        told = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max("dim").alias("dim")).first()
+        dim = max(told.dim or 1, 1)
+        turn = rotation(rows, dim)
+        across = -(-told.q // queries_a_block) or 1
+        band = written(bands(rows, told.n, items_a_block), "topk-bands")
+        # A vector's band is the one whose lengths hold its own; its block there is dealt by its id.
+        inside = (F.col("norm2") <= F.col("longest")) & (F.col("norm2") >= F.col("shortest"))
+        items = rows.join(F.broadcast(band), inside).select("band", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "vector")
+        asked = rows.where("is_query").select("vec_id", "vector", "norm2", F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("int").alias("h"))
+
+        def top(left: pa.Table, right: pa.Table) -> pa.Table:
+            q, x = _matrix(left["vector"].combine_chunks(), dim), _matrix(right["item"].combine_chunks(), dim)
+            qid, iid = left["vec_id"].to_numpy(), right["item_id"].to_numpy()
+            number, ids, score = block_top(q, qid, x, iid, turn, k, min(head, dim), floor=left["floor"].to_numpy())
+            return pa.table({"query_id": qid[number], "vec_id": ids.astype(np.int64), "score": score.astype(np.int64)})
+
+        cell = F.concat_ws("/", "band", "block", "h")
+
+        def met(queries: DataFrame, blocks: DataFrame, reaches: Column, name: str) -> DataFrame:
+            """query_id, vec_id, score of the blocks that queries (vec_id, vector, norm2, h, floor) visit."""
+            seen = queries.join(F.broadcast(blocks), reaches)
+            cells = written(seen.select("band", "h").distinct(), "topk-cells")
+            visits = seen.select("vec_id", "vector", "h", "floor", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            visits = visits.select(cell.alias("cell"), "vec_id", "vector", "floor")
+            there = items.join(cells, "band").select(cell.alias("cell"), F.col("vec_id").alias("item_id"), F.col("vector").alias("item"))
+            pairs = visits.groupBy("cell").cogroup(there.groupBy("cell"))
+            return written(pairs.applyInArrow(top, "query_id long, vec_id long, score long"), name)
+
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        first = met(asked.withColumn("floor", F.lit(float("-inf"))), band.where("band = 0"), F.lit(True), "topk-first")
+        if band.where("band > 0").isEmpty():
+            found = first
+        else:
+            kth = first.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+            known = asked.join(kth, "vec_id", "left").fillna(float("-inf"), ["floor"])
+            # Lengths are rounded; a part in 10 ** 9 more is let through.
+            reaches = F.sqrt(F.col("norm2")) * F.sqrt(F.col("longest")) * (1 + 1e-9) + 1e-9 >= F.col("floor")
+            found = first.unionByName(met(known, band.where("band > 0"), reaches, "topk-rest"))
+        best = written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk-best")
+        own.keep(best)
+    return best
