@@ -5,15 +5,19 @@ first of several. Neighbouring windows share their anchor, so a document's windo
 make a region; each window lies in one region. Anchors are counted over all documents. Regions whose anchor occurs once
 can have no equal window and stay at home; a filter of fixed size holds the rest.
 
-Regions go to shards by their anchor's hash. A shard holds each distinct region once, builds a compressed FM-index of its
-regions, and streams them against it: backward search over the wavelet matrix gives the matching statistic at each
-window's end, and those that reach the window's length with two places or more are reported as intervals. Regions that
-have the same words count as such places too; their number is summed before it is shuffled.
+Of the places of one region the one with the smallest hash is its owner, found by a minimum that is aggregated before it
+is shuffled; owners alone send their words, so a passage that stands in every document travels once. Regions go to shards
+by their anchor's hash. A shard builds a compressed FM-index of its regions, and streams them against it: backward search
+over the wavelet matrix gives the matching statistic at each window's end, and those that reach the window's length with
+two places or more are reported as intervals. Regions that have the same words count as such places too; their number is
+summed before it is shuffled.
 
 An anchor with more than `hot` places sends its windows singly, by their own hash, so that they spread over the shards,
 and equal ones are one row there.
 
 Documents with the same words are copies: all of their words go, if they have a window at all. A task streams one copy.
+Sequences that a thousandth of all rows or more share are at most a thousand; they are told apart by a broadcast and
+don't take part in the join that the others need.
 
 Nulls and edges: a null or empty text has no words: none removed, and the hash is that of the empty string. Texts of
 fewer words than a window lose nothing. Rows of one doc_id and other words are documents of their own. Rows with a
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .sketches import Filter
-from .storage import written
+from .storage import scratch, shared, written
 from .words import _DOWN, _UP, SPACED, U64, Words, chunks, give_back, mix, per_text, rolling, words
 
 
@@ -98,18 +102,20 @@ def _ids(batch: pa.RecordBatch, at: slice) -> pa.Array:
     return batch.column("doc_id").slice(at.start, at.stop - at.start)
 
 
-def sequences_of(docs: DataFrame) -> DataFrame:
-    """doc_id, seq (hash of the words), n_words, whole (SHA-256 of all words joined by a space)."""
+def sequences_of(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, seq (hash of the words), n_words, whole (SHA-256 of all words joined by a space), with texts also that text."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch, "text"):
-                found = words(texts, SPACED)
-                whole = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in texts]
-                columns = [_ids(batch, at), pa.array(sequences(found)), pa.array(np.diff(found.first)), pa.array(whole)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "n_words", "whole"])
+            for at, held in chunks(batch, "text"):
+                found = words(held, SPACED)
+                plain = [b" ".join(x.split()) for x in held]
+                columns = [_ids(batch, at), pa.array(sequences(found)), pa.array(np.diff(found.first)), pa.array([hashlib.sha256(x).hexdigest() for x in plain], pa.string())]
+                if texts:
+                    columns.append(pa.array([x.decode() for x in plain], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "n_words", "whole", "whole_text"][: len(columns)])
 
-    return docs.mapInArrow(told, "doc_id long, seq long, n_words long, whole string")
+    return docs.mapInArrow(told, "doc_id long, seq long, n_words long, whole string" + ", whole_text string" * texts)
 
 
 def anchors(docs: DataFrame, config: SubstringConfig) -> DataFrame:
@@ -126,13 +132,18 @@ def anchors(docs: DataFrame, config: SubstringConfig) -> DataFrame:
     return docs.mapInArrow(told, "anchor long")
 
 
-def regions(docs: DataFrame, again: Filter, hot: Filter, config: SubstringConfig, bodies: bool) -> DataFrame:
-    """Regions of repeated anchors. bodies: route, region, many, codes, once for each task; else doc_id, seq, start, many, region."""
-    shared = docs.sparkSession.sparkContext.broadcast((again, hot))
+def _names(region: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """A hash of a region at one of its places (the document's sequence)."""
+    return mix(region.view(U64) ^ mix(seq.view(U64) + U64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def regions(docs: DataFrame, again: Filter, hot: Filter, config: SubstringConfig, owners: Filter | None = None) -> DataFrame:
+    """Regions of repeated anchors: doc_id, seq, start, many, region, owner; or with owners: route, region, many, codes of those that own them."""
+    known = shared(docs.sparkSession, (again, hot, owners))
     size = config.window
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, busy = shared.value
+        repeated, busy, own = known.value
         once, given = _Once(), _Once()
         for batch in batches:
             for at, texts in chunks(batch, "text"):
@@ -153,8 +164,10 @@ def regions(docs: DataFrame, again: Filter, hot: Filter, config: SubstringConfig
                     many = np.where(single, 1, many)
                 end = start + many + size - 1
                 region = _spans(found.hash, start, end).view(np.int64)
-                if bodies:
-                    fresh = np.flatnonzero(given.new(region))
+                owner = _names(region, seq[text])
+                if own is not None:
+                    mine = np.flatnonzero(own.has(owner))
+                    fresh = mine[given.new(region[mine])]
                     if not len(fresh):
                         continue
                     codes = [found.hash[start[i] : end[i]].tobytes() for i in fresh]
@@ -164,10 +177,10 @@ def regions(docs: DataFrame, again: Filter, hot: Filter, config: SubstringConfig
                 else:
                     ids = _ids(batch, at).take(pa.array(text))
                     local = (start - found.first[text]).astype(np.int32)
-                    columns = [ids, pa.array(seq[text]), pa.array(local), pa.array(many.astype(np.int32)), pa.array(region)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "start", "many", "region"])
+                    columns = [ids, pa.array(seq[text]), pa.array(local), pa.array(many.astype(np.int32)), pa.array(region), pa.array(owner)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "start", "many", "region", "owner"])
 
-    return docs.mapInArrow(told, "route long, region long, many int, codes binary" if bodies else "doc_id long, seq long, start int, many int, region long")
+    return docs.mapInArrow(told, "route long, region long, many int, codes binary" if owners is not None else "doc_id long, seq long, start int, many int, region long, owner long")
 
 
 def _reported(table: pa.Table, size: int) -> pa.Table:
@@ -194,42 +207,64 @@ def _reported(table: pa.Table, size: int) -> pa.Table:
     return pa.table({"region": names[some], "mask": mask[some]})
 
 
-def _kept(text: bytes, starts: list[int], size: int) -> tuple[int, str]:
-    """Number of words that the windows from starts cover, and SHA-256 of the others."""
+def _kept(text: bytes, starts: list[int], size: int) -> tuple[int, bytes]:
+    """Number of words that the windows from starts cover, and the others joined by a space."""
     own = text.split()
     step = np.zeros(len(own) + 1, np.int64)
     at = np.unique(np.array(starts, np.int64))
     step[at] += 1
     np.subtract.at(step, np.minimum(at + size, len(own)), 1)
     gone = np.cumsum(step)[:-1] > 0
-    return int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(own, gone.tolist(), strict=True) if not g)).hexdigest()
+    return int(gone.sum()), b" ".join(w for w, g in zip(own, gone.tolist(), strict=True) if not g)
 
 
 def repeated_windows(docs: DataFrame, config: SubstringConfig) -> DataFrame:
     """doc_id, seq, starts (array of struct start, mask): windows of a document that stand elsewhere, copies apart."""
     counted = written(anchors(docs, config).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "substrings-anchors")
     again, hot = Filter.of(counted, "anchor"), Filter.of(counted.where(F.col("n") > config.hot), "anchor")
-    places = written(regions(docs, again, hot, config, bodies=False), "substrings-places")
-    bodies = regions(docs, again, hot, config, bodies=True)
-    shards = max(1, -(-places.count() // config.regions_a_shard))
+    places = written(regions(docs, again, hot, config), "substrings-places")
+    listed = written(places.groupBy("region").agg(F.min("owner").alias("owner"), F.count("*").alias("n")), "substrings-regions")
+    bodies = regions(docs, again, hot, config, Filter.of(listed, "owner"))
+    shards = max(1, -(-listed.count() // config.regions_a_shard))
     size = config.window
     sharded = bodies.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
     reports = sharded.groupBy("shard").applyInArrow(lambda t: _reported(t, size), "region long, mask long")
     reports = written(reports, "substrings-reports")
-    same = places.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region", F.lit(True).alias("same"))
+    same = listed.where("n > 1").select("region", F.lit(True).alias("same"))
     hits = written(same.join(reports, "region", "full_outer"), "substrings-hits")
     every = F.expr("shiftleft(1L, many) - 1")
     hit = places.join(hits, "region").select("doc_id", "seq", "start", F.when(F.col("same"), every).otherwise(F.col("mask")).alias("mask"))
     return hit.groupBy("doc_id", "seq").agg(F.collect_list(F.struct("start", "mask")).alias("starts"))
 
 
-def dedupe(docs: DataFrame, config: SubstringConfig | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each document."""
+def dedupe(docs: DataFrame, config: SubstringConfig | None = None, texts: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each document; with texts also kept_text, the words that stay joined by a space."""
     config = config or SubstringConfig()
-    size = config.window
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = written(repeated_windows(docs, config), "substrings-windows")
-    only = docs.sparkSession.sparkContext.broadcast(Filter.of(hits, "seq"))
+    with scratch(docs.sparkSession) as own:
+        with scratch(docs.sparkSession) as inner:
+            hits = written(repeated_windows(docs, config), "substrings-windows")
+            inner.keep(hits)
+        done = written(_cut(docs, hits, config.window, texts), "substrings-cut")
+        listed = written(sequences_of(docs, texts), "substrings-sequences")
+        counted = listed.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1")
+        copies = written(counted.select("seq", "n", F.lit(True).alias("copied")), "substrings-copies")
+        own.keep(done, listed, copies)
+    # Sequences of a thousandth of all rows: a thousand at most.
+    hot = copies.where(F.col("n") * 1000 >= listed.count())
+    busy = listed.join(F.broadcast(hot.select("seq", "copied")), "seq")
+    rest = listed.join(F.broadcast(hot.select("seq")), "seq", "left_anti").join(copies.select("seq", "copied"), "seq", "left")
+    joined = busy.unionByName(rest).join(done, ["doc_id", "seq"], "left")
+    copied = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= config.window)
+    removed = F.when(copied, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0)))
+    kept = F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "whole"))
+    more = [F.when(copied, "").otherwise(F.coalesce("kept_text", "whole_text")).alias("kept_text")] * texts
+    return joined.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"), *more)
+
+
+def _cut(docs: DataFrame, hits: DataFrame, size: int, with_text: bool) -> DataFrame:
+    """doc_id, seq, removed (words), kept (SHA-256 of the others), with_text also those, of the documents with windows that stand elsewhere."""
+    only = shared(docs.sparkSession, Filter.of(hits, "seq"))
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,15 +278,10 @@ def dedupe(docs: DataFrame, config: SubstringConfig | None = None) -> DataFrame:
             rows = []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 rows.append(_kept(text, [x["start"] + i for x in starts for i in range(x["mask"].bit_length()) if x["mask"] >> i & 1], size))
-            columns = [batch.column("doc_id"), batch.column("seq"), pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "removed", "kept"])
+            columns = [batch.column("doc_id"), batch.column("seq"), pa.array([x for x, _ in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, x in rows], pa.string())]
+            if with_text:
+                columns.append(pa.array([x.decode() for _, x in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "removed", "kept", "kept_text"][: len(columns)])
 
     texts = docs.mapInArrow(texts_of, "doc_id long, seq long, text binary")
-    done = texts.join(hits, ["doc_id", "seq"]).mapInArrow(cut, "doc_id long, seq long, removed long, kept string").dropDuplicates(["doc_id", "seq"])
-    listed = written(sequences_of(docs), "substrings-sequences")
-    copies = listed.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1").select("seq", F.lit(True).alias("copied"))
-    joined = listed.join(copies, "seq", "left").join(written(done, "substrings-cut"), ["doc_id", "seq"], "left")
-    copied = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= size)
-    removed = F.when(copied, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0)))
-    kept = F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "whole"))
-    return joined.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
+    return texts.join(hits, ["doc_id", "seq"]).mapInArrow(cut, "doc_id long, seq long, removed long, kept string" + ", kept_text string" * with_text).dropDuplicates(["doc_id", "seq"])
