@@ -5,9 +5,10 @@ insult with the mention of a group has a weight of its own, which no sum of sing
 are its distinct words (A-Z lowered), hashed into 2 ** bits buckets.
 
 The model is fitted on a bounded sample: at most `per_class` labelled texts of each class, the first in the order of a
-hash of their ids. Each class is counted over all training labels, and a sampled text weighs as much in the loss as the
+hash of their ids, and of an id's texts the one with the smallest hash. Each class is counted over all training labels, and a sampled text weighs as much in the loss as the
 labels of its class that it stands for, so the threshold means the same at every size. The model's terms are those that
-stand in at least `least_docs` texts of that sample. Everything else covers all rows.
+stand in at least `least_docs` texts of that sample. Everything else covers all rows: the sample is drawn from the
+documents by all tasks and written, and only the fitting, on that small table, is one task's work.
 
 Nulls and edges: a null text is empty; an empty text's score is sigmoid(b). Rows without an id or with a null label are
 not learnt from; where an id has several labels, the largest counts. Repeated documents are scored each for itself.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import scratch, shared, written
 from .words import ALNUM_LOWER, U64, chunks, per_text, words
 
 
@@ -131,17 +133,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None) -> Machine:
-    """Fit on the bounded sample. The sampled ids (at most 2 * per_class) are broadcast; texts aren't shuffled."""
-    config = config or ToxicityConfig()
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("_toxic is not null")
-    marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
+def sample_of(docs: DataFrame, marks: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """toxic, terms of at most per_class labelled ids of each class; the sampled ids, 2 * per_class at most, are broadcast."""
     first = [F.xxhash64("doc_id"), "doc_id"]
-    total = {r["_toxic"]: r["n"] for r in marks.where("_toxic in (0, 1)").groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    stands_for = {x: max(1.0, n / config.per_class) for x, n in total.items()}
     drawn = [marks.where(F.col("_toxic") == x).orderBy(*first).limit(config.per_class) for x in (0, 1)]
-    sample = F.broadcast(drawn[0].unionByName(drawn[1]))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
     bits = config.bits
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +147,19 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = No
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
                 blobs = [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 part = batch.slice(at.start, at.stop - at.start)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("_toxic"), pa.array(blobs, pa.binary())], ["doc_id", "toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("_toxic"), part.column("h"), pa.array(blobs, pa.binary())], ["doc_id", "toxic", "h", "terms"])
+
+    terms = rows.withColumn("h", F.xxhash64("text")).mapInArrow(hashed, "doc_id long, toxic int, h long, terms binary")
+    return terms.groupBy("doc_id").agg(F.min(F.struct("h", "terms", "toxic")).alias("x")).select("doc_id", "x.toxic", "x.terms")
+
+
+def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None) -> Machine:
+    """Fit on the bounded sample. Texts aren't shuffled."""
+    config = config or ToxicityConfig()
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("_toxic is not null")
+    marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
+    total = {r["_toxic"]: r["n"] for r in marks.where("_toxic in (0, 1)").groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    stands_for = {x: max(1.0, n / config.per_class) for x, n in total.items()}
 
     def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "toxic": [], "terms": []}), *frames])
@@ -160,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = No
         m = fit(terms, rows["toxic"].to_numpy(float), config, rows["toxic"].map(stands_for).to_numpy(float))
         yield pd.DataFrame({"bias": [m.bias], "known": [m.known.tobytes()], "weight": [m.weight.tobytes()], "factor": [m.factor.tobytes()]})
 
-    sampled = rows.mapInArrow(hashed, "doc_id long, toxic int, terms binary").coalesce(1)
-    got = sampled.mapInPandas(fitted, "bias double, known binary, weight binary, factor binary").collect()
+    with scratch(docs.sparkSession):
+        sample = written(sample_of(docs, marks, config), "toxicity-sample")
+        got = sample.coalesce(1).mapInPandas(fitted, "bias double, known binary, weight binary, factor binary").collect()
     if not got:
         return Machine(-40.0, np.empty(0, np.int64), np.empty(0), np.empty((0, config.factors)))
     known = np.frombuffer(bytes(got[0].known), np.int64)
@@ -171,13 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = No
 def score(docs: DataFrame, model: Machine, config: ToxicityConfig | None = None) -> DataFrame:
     """doc_id, score of each whole text. The model's size is bounded by 2 ** bits terms, whatever the input."""
     bits = (config or ToxicityConfig()).bits
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    machine = shared(docs.sparkSession, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch, "text"):
                 ids = batch.column("doc_id").slice(at.start, at.stop - at.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(shared.value.scores(texts, bits))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(machine.value.scores(texts, bits))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
 
@@ -191,12 +200,12 @@ def classify(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None =
 def keep_clean(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None) -> DataFrame:
     """The rows of docs, with all their columns, whose predicted label isn't toxic. Nothing is shuffled."""
     bits = (config or ToxicityConfig()).bits
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, config))
+    machine = shared(docs.sparkSession, train(docs, labels, config))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch, "text"):
-                clean = shared.value.scores(texts, bits) < 0.5
+                clean = machine.value.scores(texts, bits) < 0.5
                 yield batch.slice(at.start, at.stop - at.start).filter(pa.array(clean))
 
     return docs.mapInArrow(kept, docs.schema)
