@@ -64,6 +64,16 @@ def test_substrings(docs, empty, texts):
     assert by_id(substrings.dedupe(docs), *columns) == expected
     assert by_id(substrings.dedupe(docs, substrings.SubstringConfig(hot=1, regions_a_shard=3)), *columns) == expected
     assert substrings.dedupe(empty).count() == 0
+    kept = by_id(substrings.dedupe(docs, texts=True), "n_removed", "kept_sha256", "kept_text")
+    assert {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, _, t) in kept.items()} == {i: x[1:] for i, x in expected.items()}
+
+
+def test_substrings_with_null_and_repeated_ids(spark):
+    a, b, passage = base_text(21, 80), base_text(22, 80), base_text(23, 50)
+    rows = [(None, a), (1, a), (2, b), (2, b), (3, passage), (3, f"x {passage} y"), (None, f"{base_text(24, 40)} {passage}"), (4, base_text(25, 500))]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, seq string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedupe(docs).collect()), key=str)
+    assert got == sorted([(None, 80, 80), (1, 80, 80), (2, 80, 80), (2, 80, 80), (3, 50, 50), (3, 52, 50), (None, 90, 0), (4, 500, 0)], key=str)
 
 
 def test_jaccard(docs, empty, texts):
@@ -198,6 +208,21 @@ def test_topk(spark):
     assert topk.search(table.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_over_lengths(spark):
+    """Lengths from 1 to 1,000: a query visits few bands; with equal lengths, or fewer rows than k, it visits all."""
+    rng = np.random.default_rng(5)
+    for scale in (np.logspace(0, 3, 400), np.ones(400), np.zeros(400), np.ones(9)):
+        x = np.floor(rng.normal(size=(len(scale), 5)) * scale[:, None] * 20) / 64
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        whole = np.floor(64 * x).astype(int)
+        got = topk.search(table, F.col("vec_id") % 7 == 0, k=5, items_a_block=16, queries_a_block=8).collect()
+        expected = []
+        for i in range(0, len(x), 7):
+            best = sorted((-int(whole[i] @ whole[j]), j) for j in range(len(x)) if j != i)[:5]
+            expected += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == expected
+
+
 def round_tripped(spark, rows, html=True):
     table = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string")
     return [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html) for r in warc.round_trip(table, html=html).collect()]
