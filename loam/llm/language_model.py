@@ -24,6 +24,8 @@ token has probability 1. Other columns are ignored. An empty table gives no rows
 
 from __future__ import annotations
 
+import os
+import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import CONTEXT_BITS, Trie
-from .storage import written
+from .storage import scratch, shared, written
 from .words import SPACED_LOWER, U64, give_back, mix, parts, words
 
 _START, _END = U64(0x5354415254), U64(0x454E44)
@@ -211,11 +213,11 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def _sent(docs: DataFrame, known: Frequent, shards: int, config: ModelConfig) -> DataFrame:
     """shard, chunk, kind, data: places for each shard (kind 0), and each chunk's own rows (kind 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    broadcast = shared(docs.sparkSession, known)
     m = config.pseudo
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: Frequent = shared.value
+        f: Frequent = broadcast.value
         log_mass, part = np.log10(f.mass), 0
         for batch in batches:
             for at, texts in _parts(batch, _CHUNK):
@@ -243,12 +245,10 @@ def _sent(docs: DataFrame, known: Frequent, shards: int, config: ModelConfig) ->
                 context = _context(t.before[away])
                 to = np.where(own[away], mix(t.word[away] + context), t.word[away]) % U64(shards)
                 order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(shards + 1, dtype=U64))
-                for s in range(shards):
-                    some = order[cut[s] : cut[s + 1]]
-                    if len(some):
-                        i = away[some]
-                        rows.append((s, chunk, 0, _packed(t.word[i], context[some], t.text[i], ~out[t.text[i]])))
+                met, cut = np.unique(to[order], return_index=True)  # only shards that the chunk has tokens for
+                for s, some in zip(met.tolist(), np.split(order, cut[1:]), strict=True) if len(met) else ():
+                    i = away[some]
+                    rows.append((s, chunk, 0, _packed(t.word[i], context[some], t.text[i], ~out[t.text[i]])))
                 a, b, k, d = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["shard", "chunk", "kind", "data"])
 
@@ -284,7 +284,11 @@ def _scored(table: pa.Table, known: Frequent, pseudo: float) -> pa.Table:
             start = np.cumsum(times) - times
             learnt.append(np.add.reduceat((mark >> 15).astype(np.int64), start))
         word, context = np.concatenate([b[1] for b in blobs]), np.concatenate([b[2] for b in blobs])
-        trie = Trie.view(build(word, context, np.concatenate(learnt), known, pseudo).dump())
+        with tempfile.TemporaryDirectory(prefix="loam-trie-") as folder:  # mapped, so its pages can leave memory again
+            path = os.path.join(folder, "trie")
+            with open(path, "wb") as f:
+                f.write(build(word, context, np.concatenate(learnt), known, pseudo).dump())
+            trie = Trie.open(path)
         log_mass = np.log10(known.mass)
         for name, own, ctx, times, mark in blobs:
             number = trie.find(own)
@@ -331,10 +335,13 @@ def score(docs: DataFrame, config: ModelConfig | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     config = config or ModelConfig()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    known = frequent(rows, config)
-    shards = max(config.least_shards, -(-known.total // config.tokens_a_shard))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    pseudo, total = config.pseudo, known.total
-    sums = _sent(rows, known, shards, config).groupBy("shard").applyInArrow(lambda t: _scored(t, shared.value, pseudo), "chunk long, kind int, data binary")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sums.groupBy("chunk").applyInArrow(lambda t: _added(t, total), schema)
+    with scratch(docs.sparkSession) as own:
+        known = frequent(rows, config)
+        shards = max(config.least_shards, -(-known.total // config.tokens_a_shard))
+        broadcast = shared(docs.sparkSession, known)
+        pseudo, total = config.pseudo, known.total
+        sums = _sent(rows, known, shards, config).groupBy("shard").applyInArrow(lambda t: _scored(t, broadcast.value, pseudo), "chunk long, kind int, data binary")
+        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        out = written(sums.groupBy("chunk").applyInArrow(lambda t: _added(t, total), schema), "lm-scores")
+        own.keep(out)
+    return out
