@@ -71,16 +71,17 @@ _SSN = "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])"
 _PHONE = "(?<![\\w+])\\+\\d{1,3}[ .-]?\\(?\\d{2,4}\\)?[ .-]?\\d{3,4}[ .-]?\\d{3,4}(?!\\d)|(?<![\\w)])\\(\\d{3}\\) ?\\d{3}[ .-]\\d{4}(?!\\d)|(?<![\\d.-])\\d{3}[.-]\\d{3}[.-]\\d{4}(?![\\d-])"
 _CARD = "(?<![\\d-])(?:\\d{4}[ -]){3}\\d{4}(?![\\d-])|(?<![\\w.])\\d{13,19}(?!\\w)"
 _IBAN = "(?<!\\w)[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\\w)"
-_BEFORE = "(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)"
-_SECRET = f"(?<={_BEFORE}[\"']?[ \\t]{{0,3}}[:=][ \\t]{{0,3}}[\"']?)[A-Za-z0-9+/_=.-]{{7,}}[A-Za-z0-9+/_=]|(?<!\\w)(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}|sk-[A-Za-z0-9_-]{{16,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|eyJ[\\w-]{{10,}}\\.eyJ[\\w-]{{10,}}\\.[\\w-]+)(?!\\w)"
+_BEFORE = "(?=[tTsSpPaA])(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \\t]{0,3}[:=][ \\t]{0,3}[\"']?"
+_VALUE = "(?=[A-Za-z0-9+/_=.-]{8})[A-Za-z0-9+/_=-]++(?:\\.[A-Za-z0-9+/_=-]++)*+(?!@)"
+_KEY = "(?<!\\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\\w-]{10,}\\.eyJ[\\w-]{10,}\\.[\\w-]+)(?!\\w)"
+_SECRET = f"{_BEFORE}{_VALUE}|{_KEY}"
 ENTITY = "|".join([_SECRET, _MAIL, _IP, _IP6, _SSN, _IBAN, _CARD, _PHONE, _NAME])
 
 
 def may_hold(text: Column) -> Column:
     """A quick test that every text with an entity passes: an @, signs as numbers and addresses have them, words that introduce secrets, the beginnings of keys, or a title."""
-    signs = "\\d\\.\\d|\\d{3}|[0-9A-Fa-f]::|(?::[0-9A-Fa-f]{1,4}){6}|(?i:token|secret|passw(?:or)?d|pwd|key)[\"']?[ \\t]{0,3}[:=]|AKIA|gh[pousr]_|sk-|xox|eyJ"
-    out = F.contains(text, F.lit("@")) | text.rlike(signs)
-    for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES:
+    out = text.rlike("\\d\\.\\d|\\d{3}|::|(?::[0-9A-Fa-f]{1,4}){6}") | text.rlike(_BEFORE)
+    for t in ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ", *MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]:
         out = out | F.contains(text, F.lit(t))
     return out
 
@@ -149,12 +150,17 @@ def _plain(e: Column) -> Column:
     return F.regexp_replace(e, " ", "")
 
 
+def _value(e: Column) -> Column:
+    """A secret without what introduces it."""
+    return F.regexp_replace(e, f"^{_BEFORE}", "")
+
+
 def _kind(e: Column) -> Column:
     """Kind of a matched entity; null for long numbers that aren't cards and what looks like an IBAN but isn't."""
     card = _luhn_sum(_digits(e), 1) % 10 == 0
     iban = _mod97(F.concat(_plain(e).substr(F.lit(5), F.length(e)), e.substr(F.lit(1), F.lit(4)))) == 1
     return (
-        F.when(F.instr(e, "@") > 0, "email").when(e.rlike(f"^{_TITLE}\\b\\.? "), "name").when(e.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"), "ip")
+        F.when(e.rlike(f"^{_BEFORE}"), "secret").when(F.instr(e, "@") > 0, "email").when(e.rlike(f"^{_TITLE}\\b\\.? "), "name").when(e.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"), "ip")
         .when(e.rlike("^[0-9A-Fa-f]+:[0-9A-Fa-f:]*$"), "ipv6").when(e.rlike("^\\d{3}-\\d{2}-\\d{4}$"), "ssn").when(e.rlike("^(?:(?:\\d{4}[ -]){3}\\d{4}|\\d{13,19})$"), F.when(card, "card"))
         .when(e.rlike("^[A-Z]{2}\\d{2} ?[A-Z0-9]{4}(?: |[A-Z0-9])*$") & (F.length(_plain(e)) <= 34) & (e.contains(" ") | iban), F.when(iban, "iban")).when(e.rlike("^[+(\\d][\\d ().-]+$"), "phone").otherwise("secret")
     )
@@ -178,7 +184,7 @@ def identities(e: Column) -> Column:
     mail = F.concat(_one("domain", F.lower(F.substring_index(e, "@", -1))), _one("email", F.lower(e)))
     none = F.array().cast("array<struct<kind:string,canon:string,hint:string>>")
     names = F.filter(_name_words(e), lambda x: x.kind.isNotNull())
-    found = F.when(kind == "email", mail).when(kind == "name", names).when(kind.isin("ip", "secret"), _one(kind, e)).when(kind == "ipv6", _one(kind, F.lower(e))).when(kind == "iban", _one(kind, _plain(e)))
+    found = F.when(kind == "email", mail).when(kind == "name", names).when(kind == "ip", _one(kind, e)).when(kind == "secret", _one(kind, _value(e))).when(kind == "ipv6", _one(kind, F.lower(e))).when(kind == "iban", _one(kind, _plain(e)))
     return found.when(kind.isNotNull(), _one(kind, _digits(e))).otherwise(none)
 
 
@@ -289,7 +295,8 @@ def replaced(e: Column, look) -> Column:
     mail = F.concat(of("email", F.lower(e)), F.lit("@"), of("domain", F.lower(F.substring_index(e, "@", -1))))
     words = F.zip_with(F.slice(F.split(e, " "), 2, 9), _name_words(e), lambda w, x: F.when(x.kind.isNull(), w).otherwise(_cased(w, look(x.kind, x.canon))))
     name = F.concat_ws(" ", F.substring_index(e, " ", 1), words)
-    chosen = F.when(kind == "email", mail).when(kind == "name", name).when(kind.isin("ip", "secret"), look(kind, e)).when(kind == "ipv6", _cased(e, of("ipv6", F.lower(e))))
+    secret = F.concat(e.substr(F.lit(1), F.length(e) - F.length(_value(e))), of("secret", _value(e)))
+    chosen = F.when(kind == "email", mail).when(kind == "name", name).when(kind == "ip", look(kind, e)).when(kind == "secret", secret).when(kind == "ipv6", _cased(e, of("ipv6", F.lower(e))))
     return chosen.when(kind == "iban", _poured(e, of("iban", _plain(e)), "[0-9A-Z]")).when(kind.isNotNull(), _poured(e, look(kind, _digits(e)))).otherwise(e)
 
 
