@@ -56,6 +56,13 @@ def page_sample(pages: int, n: int) -> list[int]:
     return sorted({round(k * step) for k in range(n)})
 
 
+def page_samples(pages: Column, n: int) -> Column:
+    """page_sample() as a Column, for n of 2 or more."""
+    even = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (pages - 1) / (n - 1)).cast("int")))
+    short = F.when(pages > 0, F.sequence(F.lit(0), pages.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(pages <= n, short).otherwise(even)
+
+
 def status_table(report: DataFrame, by: str) -> DataFrame:
     """Counts of each status for each value of `by`."""
     return report.groupBy(by).pivot("status", STATUSES).count().fillna(0, STATUSES)

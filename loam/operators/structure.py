@@ -134,11 +134,19 @@ def char_windows(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     return F.when(n > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
-def within_budget(rows: DataFrame, by: str, rank: str, size: Column, budget: int) -> DataFrame:
-    """Rows of each `by` in rank order until the first that would exceed the budget; the first row is always taken."""
-    w = Window.partitionBy(by).orderBy(rank)
-    used = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_used", used).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | (F.col("_used") <= budget)).drop("_used", "_n")
+def within_budget(rows: DataFrame, by: str, rank: str, size: Column, budget: int, parts: int = 64) -> DataFrame:
+    """Rows of each `by` in rank order until the first that would exceed the budget; the first row is always taken.
+
+    A row that exceeds the budget among some of the rows before it does so among all of them. So a `by` is dealt into parts
+    first, whose own running sums leave few rows, and those alone meet in one place.
+    """
+    part = F.pmod(F.xxhash64(rank), F.lit(parts))
+    for w in (Window.partitionBy(by, "_part").orderBy(rank), Window.partitionBy(by).orderBy(rank)):
+        used = F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        if "_part" not in rows.columns:
+            rows = rows.withColumns({"_part": part, "_size": size})
+        rows = rows.withColumns({"_used": used, "_n": F.row_number().over(w)}).where((F.col("_n") == 1) | (F.col("_used") <= budget)).drop("_used", "_n")
+    return rows.drop("_part", "_size")
 
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,46 @@ def read_chunks(spark: SparkSession, path: str, category: str | None = None) ->
     return rows.where(F.col("category") == category) if category else rows
 
 
+def read_embed_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Token counts of chunk records alone; nothing else is parsed."""
+    return spark.read.schema("embed_tokens int").json(path).select(F.coalesce("embed_tokens", F.lit(0)).alias("embed_tokens"))
+
+
+#: Gives the pages of a PDF's bytes, each a list of (y0, y1, text, type) blocks, where type 0 is text.
+Extractor = Callable[[bytes], list[list[tuple[float, float, str, int]]]]
+
+
+def page_blocks(files: DataFrame, extract: Extractor) -> DataFrame:
+    """path, page (from 1), seq (over the file), y0, y1, text of each text block that isn't blank. files: path, content.
+
+    No PDF library is part of this package; extract is called in the tasks. A file that it fails on gives a row with its error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows, seq = [], 0
+                try:
+                    for number, page in enumerate(extract(content.as_py()), 1):
+                        for y0, y1, text, kind in page:
+                            if kind == 0 and text.strip():
+                                rows.append((path, number, seq, y0, y1, text, None))
+                                seq += 1
+                except Exception as e:  # the extractor's own errors, of any kind
+                    rows = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                columns = zip(*rows, strict=True) if rows else ((),) * 7
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "page", "seq", "y0", "y1", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, page int, seq int, y0 double, y1 double, text string, error string")
+
+
+def page_texts(blocks: DataFrame) -> DataFrame:
+    """path, page, text: the pages' blocks joined by line ends, blank pages left out."""
+    held = blocks.where("error is null").groupBy("path", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("b"))
+    return held.select("path", "page", F.array_join(F.col("b.text"), "\n").alias("text")).where(F.trim("text") != "")
+
+
 def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """Files below path: path, size, sha256 of the content, category (the folder it lies in)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
@@ -48,12 +91,19 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
-def tree_paths(items: DataFrame, root: str, most_levels: int = 50) -> DataFrame:
+def listing(items: DataFrame, folder: str) -> DataFrame:
+    """What lies directly in a folder, folders and shortcuts included. items: id, parent, name, is_folder, target."""
+    return items.where(F.col("parent") == folder).select("id", "name", "is_folder", "target", F.concat(F.lit("/"), "name").alias("path"))
+
+
+def tree_paths(items: DataFrame, root: str, most_levels: int = 50, file_shortcuts: bool = True) -> DataFrame:
     """id, name, path of all files below root. items: id, parent, name, is_folder, target (of a shortcut, else null).
 
-    A level at a time, by a join on the parent; folder shortcuts are followed, file shortcuts give their target's id.
+    A level at a time, by a join on the parent; folder shortcuts are followed, file shortcuts give their target's id, or
+    are left out.
     """
     spark = items.sparkSession
+    items = items if file_shortcuts else items.where("is_folder or target is null")
     front = spark.createDataFrame([(root, "")], "folder string, base string")
     files = None
     for _ in range(most_levels):

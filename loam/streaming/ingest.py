@@ -10,11 +10,19 @@ from loam.functions.text import dedupe_key
 
 
 def upsert_batches(stream: DataFrame, table: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
-    """Write each batch as a version of its own; read_latest() gives every key's newest row. Replays are harmless."""
+    """Write each batch as a version of its own; read_latest() gives every key's newest row. Replays are harmless.
+
+    Rows without a key are left out. Of a key's rows in one batch that with the smallest text hash stays, and of a text's
+    rows (equal up to case and spaces; blank texts aside) that with the smallest key.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("_hash", dedupe_key(F.col("text"))).withColumn("_batch", F.lit(number))
-        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        rows = batch.where(F.col(key).isNotNull()).withColumn("_hash", F.coalesce(dedupe_key(F.col("text")), F.lit("")))
+        one = rows.groupBy(key).agg(F.min(F.struct("_hash", *(c for c in rows.columns if c not in (key, "_hash")))).alias("_r")).select(key, "_r.*")
+        blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+        first = one.where(~blank).groupBy("_hash").agg(F.min(key).alias(key))
+        kept = one.where(~blank).join(first, ["_hash", key], "left_semi").unionByName(one.where(blank))
+        kept.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
