@@ -6,46 +6,17 @@ sides are given in full.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.functions.vocabulary import DISTRICTS, RIVER_BASINS, THEME_KEYWORDS
 from loam.operators import answers, catalogue, chunking, noise, retrieval, structure
+from loam.operators.index import SearchIndex
+from loam.plans import corpus, registry
+from loam.plans.registry import _value, query, scratch_folder, table, values
 from loam.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _value(x) -> str:
-    if x is None:
-        return "NULL"
-    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-
-def values(rows: list[tuple], names: str) -> str:
-    """Rows as SQL."""
-    return "(VALUES " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows) + f") AS t({names})"
-
-
 # --- Texts: windows, dedupe, tags, cleaning, estimates --------------------------------------------------------------
 
 _WINDOWS = """SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 1800 + 1 AS BIGINT), 2000) AS chunk
@@ -380,11 +351,16 @@ def vector_topk_prefilter(spark, sf_dir):
     return retrieval.vector_topk(rows.where("label = 2"), rows.where("id % 100 = 0").withColumnRenamed("id", "query_id"), 10)
 
 
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those of the questions: a question's vector is the one of its id."""
+    rows = _vectors(spark, sf_dir)
+    return rows, rows.withColumnRenamed("id", "query_id").join(_questions(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both lists of each question; a question's vector is the one of its id."""
-    questions, rows = _questions(spark, sf_dir), _vectors(spark, sf_dir)
-    asked = rows.withColumnRenamed("id", "query_id").join(questions.select("query_id"), "query_id", "left_semi")
-    return retrieval.vector_topk(rows, asked, 30), retrieval.bm25(_docs(spark, sf_dir), questions, 30)
+    """Both lists of each question."""
+    rows, asked = _asked_vectors(spark, sf_dir)
+    return retrieval.vector_topk(rows, asked, 30), retrieval.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), 30)
 
 
 _VECTOR = f"vector AS ({_vector_sql('q.vec_id IN (SELECT item_id FROM benchmark)', 'true', 30)})"
@@ -419,6 +395,64 @@ def postfilter_substring(spark, sf_dir):
     return fused.join(_docs(spark, sf_dir).select("id", "source"), "id").where(retrieval.contains_tag("source", "src1")).select("query_id", "rank", "id", "score")
 
 
+_WHERE = "source = (SELECT min(source) FROM documents)"
+_NEAR = f"vector AS ({_vector_sql('q.vec_id IN (SELECT item_id FROM benchmark)', f'e.vec_id IN (SELECT doc_id FROM documents WHERE {_WHERE})', 30)})"
+
+
+@query(f"WITH {_BM25}, {_NEAR}, f AS (SELECT f.*, md5(text) AS text FROM {_rrf_sql(_BOTH, 60)} f JOIN documents ON doc_id = f.id WHERE {_WHERE}) SELECT query_id, rank, id, score, text FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 6")
+def retrieve_filtered(spark, sf_dir):
+    """The vector list is limited to a category beforehand; both lists are afterwards."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("category"))
+    vectors, asked = _asked_vectors(spark, sf_dir)
+    found = retrieval.retrieve(chunks, _questions(spark, sf_dir), vectors, asked, category=docs.agg(F.min("source")).first()[0])
+    return found.withColumn("text", F.md5("text"))
+
+
+@query(f"WITH {_BM25}, {_VECTOR}, f AS (SELECT f.*, md5(text) AS text FROM {_rrf_sql(_BOTH, 60)} f JOIN documents ON doc_id = f.id) SELECT query_id, rank, id, score, text FROM f WHERE rank <= 6")
+def batch_questions(spark, sf_dir):
+    """All questions at once, six texts each."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("category"))
+    vectors, asked = _asked_vectors(spark, sf_dir)
+    return retrieval.retrieve(chunks, _questions(spark, sf_dir), vectors, asked).withColumn("text", F.md5("text"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """An index created of half the rows, appended to with the rest, compacted and opened anew."""
+    folder = scratch_folder(spark, "index")
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    vectors = _vectors(spark, sf_dir).select("id", "vector")
+    index = SearchIndex.create(chunks.where("id % 2 = 0"), vectors.where("id % 2 = 0"), folder)
+    index.append(chunks.where("id % 2 = 1"), vectors.where("id % 2 = 1"))
+    index.compact()
+    return SearchIndex(spark, folder)
+
+
+@query(f"WITH {_BM25} SELECT query_id, rank, id, round(score, 6) AS score FROM keyword")
+def index_keyword(spark, sf_dir):
+    return _index(spark, sf_dir).keyword(_questions(spark, sf_dir), 30).withColumn("score", F.round("score", 6))
+
+
+_UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))))"
+
+
+@query(f"""WITH u AS (SELECT vec_id, {_UNIT} AS v FROM embeddings) SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, e.v), 6) DESC, e.vec_id) AS rank, e.vec_id AS id,
+round(list_inner_product(q.v, e.v), 6) AS score FROM u q, u e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10""")
+def index_vector(spark, sf_dir):
+    return _index(spark, sf_dir).vector(_vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def clustered_recall(spark, sf_dir):
+    """Search by lists, with its defaults, finds nine tenths of the ten exact neighbours or more."""
+    rows = _vectors(spark, sf_dir).select("id", "vector")
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    near = retrieval.ClusteredVectors(rows, least_rows=100).search_all(asked, 10)
+    exact = retrieval.ClusteredVectors(rows).search_all(asked, 10)
+    found = near.join(exact.select("query_id", "id"), ["query_id", "id"], "left_semi").agg(F.count("*").alias("found"))
+    return asked.agg(F.count("*").alias("queries")).crossJoin(found).crossJoin(exact.agg(F.count("*").alias("n"))).select("queries", (F.col("found") >= 0.9 * F.col("n")).alias("reached"))
+
+
 @query("SELECT vec_id AS id, label FROM embeddings WHERE label = 3 AND vec_id >= 100 AND vec_id <= 400 AND vec_id > 0")
 def metadata_filter(spark, sf_dir):
     rows = _vectors(spark, sf_dir).select("id", "label", F.col("label").cast("string").alias("category"), F.col("id").cast("int").alias("year_int"))
@@ -495,9 +529,10 @@ def text_hash_reuse(spark, sf_dir):
     return noise.reuse(rows, cache, "source", "hash").select("doc_id", F.col("vector").alias("cached"))
 
 
-@query("SELECT text AS k FROM conversations GROUP BY text HAVING count(DISTINCT conv_id) > 1")
+@query("SELECT sha1(text) AS k FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
 def repeated_ids(spark, sf_dir):
-    return noise.repeated_ids(table(spark, sf_dir, "conversations"), "text", "conv_id").withColumnRenamed("text", "k")
+    rows = table(spark, sf_dir, "documents").select(F.sha1(F.col("text").cast("binary")).alias("k"), "source")
+    return noise.repeated_ids(rows, "k", "source")
 
 
 # --- Answers --------------------------------------------------------------------------------------------------------
@@ -520,36 +555,39 @@ def cite_labels_check(spark, sf_dir):
     return spark.createDataFrame(_DRAFTS, "id int, body string, n int").select("id", joined(valid).alias("valid"), joined(invalid).alias("invalid"))
 
 
-def _hit(doc: str, text: str, page: int, year: str = "2019", author: str = "Bastola") -> dict:
-    return {"doc_id": doc, "text": text, "title": f"Title {doc}", "author": author, "collection": "papers", "category": "01_Floods", "year": year, "path": f"/papers/{doc}.pdf", "page_start": page, "page_end": page + 1}
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each document: its first words, once with a label that lacks a number, and sentences of two other texts; its sources are the three texts."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("source"), F.substring("text", 1, 600).alias("text"))
+    part = lambda k, m: docs.select((F.col("id") + k).alias("id"), F.col("text").alias(f"t{m}"), F.col("source").alias(f"s{m}"))
+    rows = docs.join(part(1, 1), "id").join(part(2, 2), "id")
+    sentence = lambda c: F.concat(F.initcap(F.array_join(F.slice(T.words(F.regexp_replace(c, "[.!?]", "")), 1, 9), " ")), F.lit("."))
+    hit = lambda k, t, s: F.struct((F.col("id") - k).cast("string").alias("doc_id"), F.concat(F.col(t), F.lit(f" Level {k}{k}.5 was met.")).alias("text"), F.concat(F.lit("Title "), F.col(s)).alias("title"), F.when(F.col("id") % 2 == 0, "Bastola").otherwise("").alias("author"), F.lit("reports").alias("collection"), F.col(s).alias("category"), F.lit("2019").alias("year"), F.concat(F.lit("/reports/"), F.col(s)).alias("path"), F.lit(k + 1).alias("page_start"), F.lit(k + 2).alias("page_end"))
+    text = F.concat_ws(" ", sentence(F.col("text")), F.lit("Level 11.5 was met [S1]. Level 77.7 was met [S2, S9]."), sentence(F.col("t2")))
+    return rows.select("id", text.alias("answer"), F.array(hit(0, "text", "source"), hit(1, "t1", "s1"), hit(2, "t2", "s2")).alias("used"))
 
 
-_HITS = [_hit("a", "The discharge of the river reached 1,200 cubic metres in 2015 [12].", 3), _hit("a", "Landslides killed 43 people in the upper valley.", 7), _hit("b", "Forest cover grew to 44.7 percent of the country.", 1, "", "")]
-_ANSWERS = [
-    (1, "The discharge reached 1,200 cubic metres [S1]. Landslides killed 43 people [S1]. Forest cover grew to 44.7 percent of the country."),
-    (2, "<think>hidden</think>Rivers rose by 99 metres [S2]. Fine. [S5]. [S1][S2][S3]"),
-    (3, "Nothing of it could be found."),
-    (4, "Valley people saw landslides (S2, p7).\n\n[S1] [S2]\n\nForest cover grew [S3][S1]."),
-]
-
+_PLAIN = "rtrim(replace({0}, ',', ''), '.')"
+_GROUPS = "'[\\[(][^\\])]{0,40}?\\bS\\s?\\d{1,2}\\b[^\\])]{0,40}[\\])]'"
 
-def _answers(spark: SparkSession) -> DataFrame:
-    rows = [(i, a, _HITS) for i, a in _ANSWERS]
-    return spark.createDataFrame(rows, f"id int, answer string, used array<{answers.HIT}>")
 
-
-@query()
+@query(f"""WITH d AS (SELECT doc_id, substr(text, 1, 600) AS text FROM documents WHERE text IS NOT NULL),
+r AS (SELECT a.doc_id AS id, [a.text || ' Level 00.5 was met.', b.text || ' Level 11.5 was met.', c.text || ' Level 22.5 was met.'] AS used FROM d a JOIN d b ON b.doc_id = a.doc_id - 1 JOIN d c ON c.doc_id = a.doc_id - 2),
+h AS (SELECT id, list_transform(used, lambda t: list_transform(regexp_extract_all(trim(regexp_replace(t, '\\s?\\[\\d{{1,3}}(?:\\s*[,–-]\\s*\\d{{1,3}})*\\]', '', 'g')), '\\d+(?:[.,]\\d+)*'), lambda x: {_PLAIN.format("x")})) AS held FROM r),
+s AS (SELECT * FROM (VALUES ('Level 11.5 was met [S1].', 1), ('Level 77.7 was met [S2, S9].', 2)) AS t(sentence, label)),
+n AS (SELECT id, sentence, label, held, unnest(regexp_extract_all(regexp_replace(sentence, {_GROUPS}, '', 'g'), '\\d+(?:[.,]\\d+)*')) AS number FROM h, s)
+SELECT id, number, sentence FROM n WHERE NOT list_contains(held[label], {_PLAIN.format("number")})""")
 def ungrounded_numbers(spark, sf_dir):
-    rows = _answers(spark)
-    bad = answers.ungrounded_numbers(F.col("answer"), F.transform("used", lambda h: h["text"]))
+    rows = _answers(spark, sf_dir)
+    answer = F.lit("Level 11.5 was met [S1]. Level 77.7 was met [S2, S9].")
+    bad = answers.ungrounded_numbers(answer, F.col("used")["text"])
     return rows.select("id", F.explode(bad).alias("x")).select("id", "x.number", "x.sentence")
 
 
 @query()
 def finished_answers(spark, sf_dir):
-    rows = answers.finished(_answers(spark))
+    rows = answers.finished(_answers(spark, sf_dir))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return rows.select("id", "cited", "final", text(F.col("valid")).alias("valid"), text(F.col("invalid")).alias("invalid"), F.size("ungrounded").alias("n_ungrounded"), "uncited")
+    return rows.select("id", "cited", "final", text(F.col("valid")).alias("valid"), text(F.col("invalid")).alias("invalid"), F.size("ungrounded").alias("n_ungrounded"), "uncited", F.array_join("references", "\n").alias("references"))
 
 
 @query(f"WITH {_BM25}, b AS (SELECT query_id, rank, '[S' || rank || '] Document ' || k.id || ' (n.d.), p1' || chr(10) || trim(regexp_replace(text, '\\s?\\[\\d{{1,3}}(?:\\s*[,–-]\\s*\\d{{1,3}})*\\]', '', 'g')) || chr(10) || '[end of S' || rank || ']' AS block FROM keyword k JOIN documents ON doc_id = k.id WHERE rank <= 8), s AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS spent FROM b) SELECT query_id, rank, block FROM s WHERE rank = 1 OR spent <= 14000")
@@ -567,9 +605,5 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(once, _questions(spark, sf_dir), 8)
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+queries, oracle_sql = registry.queries, registry.oracle_sql
+MODULES = (corpus,)

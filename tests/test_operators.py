@@ -1,10 +1,17 @@
 """Cases derived by hand."""
 
+import itertools
+import unicodedata
+
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.operators import answers, catalogue, chunking, noise, retrieval, structure
+from loam.operators import answers, catalogue, chunking, encoding, noise, retrieval, structure
+from loam.operators.index import SearchIndex
 
 
 def one(spark, column, **values):
@@ -85,26 +92,51 @@ def test_reference_list(spark):
     assert [(r.doc, r.page, r.seq) for r in got] == [("a", 1, 1), ("a", 3, 4), ("a", 3, 5), ("a", 3, 6), ("a", 3, 7), ("b", 3, 4), ("b", 3, 5), ("b", 3, 6)]
 
 
+def chunks_of(sizes, segments, config=chunking.ChunkConfig()):
+    return chunking.boundaries(np.array(sizes), np.array(segments), config)
+
+
 def test_packing_repeats_only_the_overlap():
-    rows = [(f"s{i}", 60, 1, False) for i in range(30)]
-    chunks = chunking.packed([("A", rows)], chunking.ChunkConfig())
-    assert all(sum(r[1] for r in c) <= 768 for _, c in chunks)
-    seen = [r[0] for r in chunks[0][1]]
-    for _, c in chunks[1:]:
-        names = [r[0] for r in c]
-        repeated = next(k for k, x in enumerate(names) if x not in seen)
-        assert repeated * 60 <= 64
-        seen += names[repeated:]
-    assert seen == [r[0] for r in rows]
+    found = chunks_of([60] * 30, [0] * 30)
+    assert all((b - a) * 60 <= 768 for _, a, b in found)
+    covered = 0
+    for _, a, b in found:
+        assert (covered - a) * 60 <= 64
+        assert a <= covered < b
+        covered = b
+    assert covered == 30
 
 
 def test_small_sections_join_a_neighbour():
+    assert chunks_of([200, 20], [0, 1]) == [(0, 0, 2)]
+    assert chunks_of([20, 200], [0, 1]) == [(1, 0, 2)]
+    assert chunks_of([20], [0]) == [(0, 0, 1)]
+    assert chunks_of([], []) == []
+    assert chunks_of([760, 20, 20], [0, 1, 2]) == [(0, 0, 1), (2, 1, 3)]  # too large to be joined: they wait, and end
+
+
+@given(st.lists(st.tuples(st.integers(1, 300), st.booleans()), min_size=1, max_size=60))
+def test_packing_rules(rows):
+    """Each rule of packing, checked on the chunks alone."""
     config = chunking.ChunkConfig()
-    row = lambda name, n: (name, n, 1, True)
-    assert [(s, len(c)) for s, c in chunking.packed([("A", [row("a", 200)]), ("B", [row("b", 20)])], config)] == [("A", 2)]
-    assert [(s, len(c)) for s, c in chunking.packed([("A", [row("a", 20)]), ("B", [row("b", 200)])], config)] == [("B", 2)]
-    assert [(s, len(c)) for s, c in chunking.packed([("A", [row("a", 20)])], config)] == [("A", 1)]
-    assert chunking.packed([], config) == []
+    sizes, segments = [n for n, _ in rows], list(itertools.accumulate(int(new) for _, new in rows))
+    found, total = chunks_of(sizes, segments), [0, *itertools.accumulate(sizes)]
+    tokens = lambda a, b: total[b] - total[a]
+    assert found[0][1] == 0
+    assert found[-1][2] == len(rows)
+    for (_, a, b), (_, c, d) in itertools.pairwise(found):
+        assert a <= c <= b < d
+        assert tokens(c, b) <= config.overlap
+        if c < b or segments[b - 1] == segments[b]:  # cut within a section: one sentence more would pass the target
+            assert tokens(a, b + 1) > config.target or tokens(b, d) < config.least
+            assert c == a or tokens(c - 1, b) > config.overlap
+    for k, (name, a, b) in enumerate(found):
+        fresh = a if not k else found[k - 1][2]
+        assert fresh < b
+        assert segments[name] in segments[a:b]
+        assert tokens(a, b) <= max(config.most, config.target + max(sizes), config.overlap + max(sizes))
+        if tokens(fresh, b) < config.least and k:  # a small rest stays alone only where it doesn't fit the chunk before it
+            assert tokens(found[k - 1][1], b) > config.most or k == len(found) - 1
 
 
 def test_rrf(spark):
@@ -113,15 +145,6 @@ def test_rrf(spark):
     assert [(r.id, r.score) for r in got] == [("B", 0.03252), ("C", 0.032), ("A", 0.01639), ("D", 0.01587)]
 
 
-def test_clustered_search_finds_the_exact_neighbours(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    query = [float(x) for x in rows.where("id = 7").first().vector]
-    exact = [r.id for r in retrieval.ClusteredVectors(rows).search(query, 10).collect()]
-    near = [r.id for r in retrieval.ClusteredVectors(rows, least_rows=100).search(query, 10, probes=40).collect()]
-    assert exact[0] == 7
-    assert len(set(exact) & set(near)) >= 9
-
-
 HITS = [
     {"doc_id": "a", "text": "The discharge reached 1,200 metres in 2015 [12].", "title": "T", "author": "Bastola", "collection": "papers", "category": "x", "year": "2019", "path": "/p/a.pdf", "page_start": 3, "page_end": 3},
     {"doc_id": "a", "text": "Landslides killed 43 people in the upper valley.", "title": "T", "author": "Bastola", "collection": "papers", "category": "x", "year": "2019", "path": "/p/a.pdf", "page_start": 7, "page_end": 8},
@@ -129,10 +152,90 @@ HITS = [
 ]
 
 
-def test_answers():
-    assert answers.auto_cited("Forest cover grew to 44.7 percent. Short one.", HITS) == "Forest cover grew to 44.7 percent [~S3]. Short one."
-    assert answers.repaired("Landslides killed 43 people [S1].", HITS) == "Landslides killed 43 people [~S2]."
-    assert answers.repaired("Landslides killed 43 people [S2].", HITS) == "Landslides killed 43 people [S2]."
-    assert answers.apa("It rose [S1][S2]. So (S3).", HITS) == "It rose [Bastola, 2019, pp. 3–8]. So [Some Office, n.d., p. 1]."
-    assert answers.apa("It rose [S9].", HITS) == "It rose [S9]."
-    assert answers.references(HITS, [3, 1, 2]) == ["Some Office. (n.d.). U. /p/b.pdf", "Bastola. (2019). T. /p/a.pdf"]
+def on_answer(spark, column, text):
+    rows = spark.createDataFrame([(text, HITS)], f"answer string, used array<{answers.HIT}>").withColumn("held", answers.evidence(F.col("used")))
+    return rows.select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("change", "text", "expected"),
+    [
+        (answers.auto_cited, "Forest cover grew to 44.7 percent. Short one.", "Forest cover grew to 44.7 percent [~S3]. Short one."),
+        (answers.auto_cited, "Nothing of all this stands anywhere.\n\n \nLandslides killed people in the upper valley!", "Nothing of all this stands anywhere.\n\nLandslides killed people in the upper valley [~S2]!"),
+        (answers.auto_cited, "", ""),
+        (answers.repaired, "Landslides killed 43 people [S1].", "Landslides killed 43 people [~S2]."),
+        (answers.repaired, "Landslides killed 43 people [S2].", "Landslides killed 43 people [S2]."),
+        (answers.repaired, "Cover grew to 44.7 percent [S1][S2] now", "Cover grew to 44.7 percent now [~S3]"),
+        (answers.repaired, "It was 99 then [S1].", "It was 99 then [S1]."),
+    ],
+)
+def test_labels(spark, change, text, expected):
+    assert on_answer(spark, change(F.col("answer"), F.col("held")), text) == expected
+
+
+@pytest.mark.parametrize(("text", "expected"), [("It rose [S1][S2]. So (S3).", "It rose [Bastola, 2019, pp. 3–8]. So [Some Office, n.d., p. 1]."), ("It rose [S9].", "It rose [S9]."), ("[~S3] [S1] end", "[~Some Office, n.d., p. 1; Bastola, 2019, p. 3] end")])
+def test_apa(spark, text, expected):
+    assert on_answer(spark, answers.apa(F.col("answer"), F.col("used")), text) == expected
+
+
+def test_references(spark):
+    found = on_answer(spark, answers.references(F.col("used"), F.array(F.lit(3), F.lit(1), F.lit(2))), "")
+    assert found == ["Some Office. (n.d.). U. /p/b.pdf", "Bastola. (2019). T. /p/a.pdf"]
+    assert on_answer(spark, answers.markdown(F.lit("Q"), F.col("answer"), F.array(F.lit("r"))), "A") == "# Q\n\nA\n\n## References\n\n- r"
+
+
+def test_nfkc_is_pythons(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ["ﬁne ①", "ｆｕｌｌ", None, "e\u0301"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, v string").select("i", T.nfkc(F.col("v")).alias("x")).collect()
+    assert [r.x for r in sorted(got)] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_index_versions(spark, tmp_path, sf_dir):
+    """Created, appended to and compacted, an index by lists gives what one made at once gives."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    chunks = spark.range(500).select("id", F.concat(F.lit("word"), (F.col("id") % 7).cast("string"), F.lit(" common")).alias("text"))
+    index = SearchIndex.create(chunks.where("id < 400"), rows.where("id < 400"), str(tmp_path / "i"), least_rows=100)
+    index.append(chunks.where("id >= 400"), rows.where("id >= 400"))
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    before = index.vector(asked, 5, probes=1000).orderBy("query_id", "rank").collect()
+    index.compact()
+    again = SearchIndex(spark, str(tmp_path / "i"))
+    assert again.version == 2
+    assert again.vector(asked, 5, probes=1000).orderBy("query_id", "rank").collect() == before
+    exact = retrieval.ClusteredVectors(rows).search_all(asked, 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in before] == [(r.query_id, r.id) for r in exact]
+    questions = spark.createDataFrame([(0, "word3 word3")], "query_id long, text string")
+    assert {r.id % 7 for r in again.keyword(questions, 10).collect()} == {3}
+    fused = again.search(questions, asked.where("query_id = 0"), 8)
+    assert fused.count() == 8
+    assert "text" in fused.columns
+
+
+def test_encoder_halves_batches():
+    seen = []
+
+    def encode(texts):
+        seen.append(len(texts))
+        if len(texts) > 3:
+            raise MemoryError
+        return np.ones((len(texts), 2))
+
+    assert encoding.halving(encode, ["x"] * 10, 16).shape == (10, 2)
+    assert max(n for n in seen if n <= 3) == 2
+    with pytest.raises(MemoryError):
+        encoding.halving(lambda texts: (_ for _ in ()).throw(MemoryError()), ["x"], 4)
+
+
+def test_exact_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "t.json"))
+    rows = spark.createDataFrame([("a b c",), (None,), ("",)], "text string")
+    assert [r.tokens for r in encoding.exact_tokens(rows, "text", str(tmp_path / "t.json")).collect()] == [3, 0, 0]
+
+
+def test_parallel_arrays_must_agree(spark):
+    with pytest.raises(Exception, match="parallel arrays"):
+        encoding.zipped(spark.createDataFrame([([1], [1, 2])], "a array<int>, b array<int>"), "a", "b").collect()
