@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and an n-gram trie of two levels over them, laid out in one buffer that may be memory-mapped."""
+"""Elias-Fano sequences and an n-gram trie of three levels over them, laid out in one buffer that may be memory-mapped."""
 
 from __future__ import annotations
 
@@ -104,30 +104,84 @@ def _view(buffer, kind: str, at: int) -> tuple[np.ndarray, int]:
     return values, at + 8 + values.nbytes + (-values.nbytes % 8)
 
 
-#: Bits of a context's hash, which needs to differ only from the other contexts of one word.
-CONTEXT_BITS = 40
+#: Bits of the hashes of a word's contexts and of theirs, which need to differ only from the others under one node.
+CONTEXT_BITS, FURTHER_BITS = 40, 32
 
 
-class Trie:
-    """Words with their counts, and under each word the contexts seen before it, with quantised log10 values.
+class Values:
+    """Numbers in 16 bits between two bounds."""
+
+    def __init__(self, codes: np.ndarray, span: np.ndarray):
+        self.codes, self.span = codes, span
 
-    Levels: word hashes; pointers into the next level; contexts, as (word number, context hash) in one rising sequence,
-    so that a word's part of it is searched relative to the word; values in 16 bits between two bounds.
-    """
+    @staticmethod
+    def of(values: np.ndarray) -> Values:
+        span = np.array([values.min(), values.max()]) if len(values) else np.zeros(2)
+        return Values(np.round((values - span[0]) / max(float(span[1] - span[0]), 1e-9) * 65535).astype(np.uint16), span)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """Value at each place; nan at -1."""
+        out = np.full(len(at), np.nan)
+        known = at >= 0
+        out[known] = self.span[0] + self.codes[at[known]] * (max(float(self.span[1] - self.span[0]), 1e-9) / 65535)
+        return out
 
-    def __init__(self, words: EliasFano, counts: np.ndarray, pointers: EliasFano, contexts: EliasFano, codes: np.ndarray, span: np.ndarray):
-        self.words, self.counts, self.pointers, self.contexts, self.codes, self.span = words, counts, pointers, contexts, codes, span
+    def dump(self) -> bytes:
+        return _dump(self.codes) + _dump(self.span)
 
     @staticmethod
-    def of(words: np.ndarray, counts: np.ndarray, word_of: np.ndarray, contexts: np.ndarray, values: np.ndarray) -> Trie:
-        """words: sorted hashes; word_of and contexts: sorted pairs of word number and context hash, with values."""
-        bits = max(1, len(words)).bit_length() + CONTEXT_BITS
-        pairs = (word_of.astype(U64) << U64(CONTEXT_BITS)) | contexts.astype(U64)
-        start = np.searchsorted(word_of, np.arange(len(words) + 1))
-        span = np.array([values.min(initial=0.0), values.max(initial=0.0)]) if len(values) else np.zeros(2)
-        wide = max(float(span[1] - span[0]), 1e-9)
-        codes = np.round((values - span[0]) / wide * 65535).astype(np.uint16)
-        return Trie(EliasFano.of(words, 64), counts.astype(np.int64), EliasFano.of(start, max(1, len(pairs)).bit_length()), EliasFano.of(pairs, bits), codes, span)
+    def view(buffer, at: int) -> tuple[Values, int]:
+        codes, at = _view(buffer, "<u2", at)
+        span, at = _view(buffer, "<f8", at)
+        return Values(codes, span), at
+
+
+class Level:
+    """The children of each node of the level above: pointers to their places, and (parent, context) in one rising sequence,
+    so that a parent's part of it is searched relative to the parent."""
+
+    def __init__(self, bits: int, pointers: EliasFano, keys: EliasFano):
+        self.bits, self.pointers, self.keys = bits, pointers, keys
+
+    @staticmethod
+    def of(parents: int, parent: np.ndarray, context: np.ndarray, bits: int) -> Level:
+        """parent, context: sorted pairs of a node's number, of `parents`, and a hash of so many bits."""
+        start = np.searchsorted(parent, np.arange(parents + 1))
+        keys = (parent.astype(U64) << U64(bits)) | context.astype(U64)
+        return Level(bits, EliasFano.of(start, max(1, len(parent)).bit_length()), EliasFano.of(keys, max(1, parents).bit_length() + bits))
+
+    def find(self, parent: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Place of each child; -1 if there is none, or no parent (-1)."""
+        out = np.full(len(parent), -1)
+        known = np.flatnonzero(parent >= 0)
+        if not len(known) or not self.keys.n:
+            return out
+        node = parent[known]
+        begin, end = self.pointers.get(node).astype(np.int64), self.pointers.get(node + 1).astype(np.int64)
+        want = (node.astype(U64) << U64(self.bits)) | context[known].astype(U64)
+        at = self.keys.successor(want, begin, end)
+        inside = np.flatnonzero(at < end)
+        hit = inside[self.keys.get(at[inside]) == want[inside]]
+        out[known[hit]] = at[hit]
+        return out
+
+    def dump(self) -> bytes:
+        return struct.pack("<Q", self.bits) + self.pointers.dump() + self.keys.dump()
+
+    @staticmethod
+    def view(buffer, at: int) -> tuple[Level, int]:
+        (bits,) = struct.unpack_from("<Q", buffer, at)
+        pointers, at = EliasFano.view(buffer, at + 8)
+        keys, at = EliasFano.view(buffer, at)
+        return Level(bits, pointers, keys), at
+
+
+class Trie:
+    """Words with their counts; under each the words before it, with two quantised values (with nothing before that, and
+    the weight of this pair as a context); under each of those the words before that, with a value."""
+
+    def __init__(self, words: EliasFano, counts: np.ndarray, second: Level, alone: Values, weight: Values, third: Level, value: Values):
+        self.words, self.counts, self.second, self.alone, self.weight, self.third, self.value = words, counts, second, alone, weight, third, value
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Number of each word; -1 if the trie lacks it."""
@@ -136,34 +190,20 @@ class Trie:
         at = np.minimum(self.words.successor(words), self.words.n - 1)
         return np.where(self.words.get(at) == words, at, -1)
 
-    def values(self, number: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Value of each context under the word of that number; nan if the trie lacks it."""
-        out = np.full(len(number), np.nan)
-        known = np.flatnonzero(number >= 0)
-        if not len(known) or not self.contexts.n:
-            return out
-        word = number[known]
-        begin, end = self.pointers.get(word).astype(np.int64), self.pointers.get(word + 1).astype(np.int64)
-        want = (word.astype(U64) << U64(CONTEXT_BITS)) | contexts[known].astype(U64)
-        at = self.contexts.successor(want, begin, end)
-        inside = np.flatnonzero(at < end)
-        hit = inside[self.contexts.get(at[inside]) == want[inside]]
-        out[known[hit]] = self.span[0] + self.codes[at[hit]] * (max(float(self.span[1] - self.span[0]), 1e-9) / 65535)
-        return out
-
     def dump(self) -> bytes:
-        return self.words.dump() + _dump(self.counts) + self.pointers.dump() + self.contexts.dump() + _dump(self.codes) + _dump(self.span)
+        return self.words.dump() + _dump(self.counts) + b"".join(x.dump() for x in (self.second, self.alone, self.weight, self.third, self.value))
 
     @staticmethod
     def view(buffer) -> Trie:
         """The trie in a buffer, without a copy of its levels."""
         words, at = EliasFano.view(buffer, 0)
         counts, at = _view(buffer, "<i8", at)
-        pointers, at = EliasFano.view(buffer, at)
-        contexts, at = EliasFano.view(buffer, at)
-        codes, at = _view(buffer, "<u2", at)
-        span, at = _view(buffer, "<f8", at)
-        return Trie(words, counts, pointers, contexts, codes, span)
+        second, at = Level.view(buffer, at)
+        alone, at = Values.view(buffer, at)
+        weight, at = Values.view(buffer, at)
+        third, at = Level.view(buffer, at)
+        value, at = Values.view(buffer, at)
+        return Trie(words, counts, second, alone, weight, third, value)
 
     @staticmethod
     def open(path: str) -> Trie:

@@ -1,21 +1,26 @@
-"""LM scoring: a bigram model in Elias-Fano tries, one for each shard of the vocabulary.
+"""LM scoring: a trigram model in Elias-Fano tries, one for each shard of the vocabulary.
 
 With c the counts in the training texts, N their tokens, V their distinct tokens, p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)):
 
-    p(w | h) = (c(h w) + m p(w)) / (c(h) + m)
+    p(w | u v) = (c(u v w) + a c(v w) + m p(w)) / (c(u v) + a c(v) + m)
 
-which is Dirichlet smoothing with m pseudo-tokens; it sums to 1 over the V words and one unknown word. A text's score is
-the sum of log10 p(w | h) over its tokens and one end, each after the token before it or a start. The numerator needs
-only what is known of w, and the denominator, taken with h, only what is known of h. So all that belongs to a word meets
-in the word's shard: the trie there has the word's count and, under it, the contexts h with the quantised numerators.
+which is Dirichlet smoothing with a pseudo-tokens for each pair and m more; it sums to 1 over the V words and one unknown
+word. A text's score is the sum of log10 p(w | u v) over its tokens and one end, each after the two tokens before it or
+starts. The numerator needs only what is known of w, and the denominator, taken with v, only what is known of v. So all
+that belongs to a word meets in the word's shard: the trie there has the word's count, under it the words v before it
+with the quantised log10 of a c(v w) + m p(w) and, for the token after, of c(v w) + a c(w) + m, and under those the words
+u before them with the quantised numerators.
 
 Steps, each over all texts: (1) counts of words, which give N, V and the words that are a thousandth of all tokens or
-more; (2) counts of pairs of two such words, of which those of a ten-thousandth or more are kept; (3) scoring: what
-concerns those words and pairs, a thousand and ten thousand at most, is broadcast and added up where the text is; every
-other pair goes to its word's shard (pairs with a frequent word, to one by the hash of both), which builds its trie from
-the training texts, looks every pair up in it, and sends partial sums back to the text's chunk, where they are added.
+more; (2) counts of pairs of two such words, of which those of a ten-thousandth or more are kept; (3) counts of such pairs
+after such words, with the same bound; (4) scoring: what concerns those words, pairs and triples, a thousand and twice ten
+thousand at most, is broadcast and added up where the text is; every other triple goes to its word's shard (with a
+frequent word to one by the hash of the pair, with a frequent pair to one by the hash of all three), which builds its trie
+from the training texts, writes it to a file, maps that, looks every triple up in it, and sends partial sums back to the
+text's chunk, where they are added.
 
-Words are 64-bit hashes; a context's hash under a word has 40 bits. The number of shards follows the number of tokens.
+Words are 64-bit hashes; those of the words before have 40 bits under a word, and 32 under a pair. The number of shards
+follows the number of tokens.
 
 Nulls and edges: a null text is empty; an empty text has the end as its only token. Rows with a null doc_id are never
 learnt from, and held out. Repeated rows are learnt from, and scored, each for itself. Without training texts every
@@ -36,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .eliasfano import CONTEXT_BITS, Trie
+from .eliasfano import CONTEXT_BITS, FURTHER_BITS, EliasFano, Level, Trie, Values
 from .storage import scratch, shared, written
 from .words import SPACED_LOWER, U64, give_back, mix, parts, words
 
@@ -47,7 +52,8 @@ _CHUNK, _MOST_DOCS = 3 << 20, 1 << 14
 @dataclass(frozen=True)
 class ModelConfig:
     pseudo: float = 8.0
-    tokens_a_shard: int = 2_500_000
+    pair_weight: float = 0.01
+    tokens_a_shard: int = 1_600_000
     least_shards: int = 24
     frequent: int = 1000
     frequent_pairs: int = 10_000
@@ -61,12 +67,21 @@ def _context(h: np.ndarray) -> np.ndarray:
     return mix(h ^ U64(0x6A09E667F3BCC909)) >> U64(64 - CONTEXT_BITS)
 
 
+def _further(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ U64(0xBB67AE8584CAA73B)) >> U64(64 - FURTHER_BITS)
+
+
+def _pair_name(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(word + context)
+
+
 @dataclass
 class _Tokens:
-    """Tokens of some texts, ends included: word, context before it, and text of each."""
+    """Tokens of some texts, ends included: word, the word before it, the one before that, and text of each."""
 
     word: np.ndarray
     before: np.ndarray
+    further: np.ndarray
     text: np.ndarray
 
 
@@ -78,10 +93,12 @@ def tokens(texts: list[bytes]) -> _Tokens:
     inner = np.ones(len(word), bool)
     inner[stop - 1] = False
     word[inner] = found.hash
-    before = np.full(len(word), _START, U64)
+    before, further = np.full(len(word), _START, U64), np.full(len(word), _START, U64)
     before[1:] = word[:-1]
     before[stop - many] = _START
-    return _Tokens(word, before, np.repeat(np.arange(len(texts)), many))
+    further[1:] = before[:-1]
+    further[stop - many] = _START
+    return _Tokens(word, before, further, np.repeat(np.arange(len(texts)), many))
 
 
 def _parts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[slice, list[bytes]]]:
@@ -132,7 +149,7 @@ def _counted(docs: DataFrame, of) -> DataFrame:
 
 @dataclass
 class Frequent:
-    """N, V, training texts; the frequent words (sorted) with counts; frequent pairs (sorted numbers) with counts."""
+    """N, V, training texts; the frequent words (sorted) with counts; frequent pairs and triples (sorted numbers) with counts."""
 
     total: int
     distinct: int
@@ -141,6 +158,8 @@ class Frequent:
     count: np.ndarray
     pair: np.ndarray
     pair_count: np.ndarray
+    triple: np.ndarray
+    triple_count: np.ndarray
 
     @property
     def mass(self) -> float:
@@ -148,15 +167,37 @@ class Frequent:
 
     def number(self, x: np.ndarray) -> np.ndarray:
         """Number of each frequent word; -1 for others."""
-        at = np.minimum(np.searchsorted(self.word, x), max(len(self.word) - 1, 0))
-        return np.where(self.word[at] == x, at, -1) if len(self.word) else np.full(len(x), -1)
+        return _found(self.word, x)
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """Number of each frequent word, the start's being the last; -1 for others."""
+        return np.where(x == _START, len(self.word), self.number(x))
 
     def pairs(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """word's number times (number of frequent words + 1) plus the context's, the start's being the last; -1 if either isn't frequent."""
-        w, h = self.number(word), self.number(before)
-        h = np.where(before == _START, len(self.word), h)
+        """word's number times (number of frequent words + 1) plus the one's before it; -1 if either isn't frequent."""
+        w, h = self.number(word), self.before(before)
         return np.where((w >= 0) & (h >= 0), w * (len(self.word) + 1) + h, -1)
 
+    def triples(self, pair_at: np.ndarray, further: np.ndarray) -> np.ndarray:
+        """A frequent pair's place times (number of frequent words + 1) plus the number before it; -1 if either isn't frequent."""
+        h = self.before(further)
+        return np.where((pair_at >= 0) & (h >= 0), pair_at * (len(self.word) + 1) + h, -1)
+
+    def pair_names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted names of the frequent pairs, and their counts."""
+        words_ = np.append(self.word, _START)
+        name = _pair_name(self.word[self.pair // len(words_)], _context(words_[self.pair % len(words_)])) if len(self.pair) else np.empty(0, U64)
+        order = np.argsort(name)
+        return name[order], self.pair_count[order]
+
+
+def _found(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each x in a sorted array; -1 if it isn't there."""
+    if not len(known):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
 
 def frequent(docs: DataFrame, config: ModelConfig) -> Frequent:
     """docs: doc_id, text, held_out."""
@@ -169,52 +210,73 @@ def frequent(docs: DataFrame, config: ModelConfig) -> Frequent:
     if texts is None:
         texts = (counted.where(F.col("key") == int(_END)).agg(F.sum("n")).first()[0]) or 0
     none = np.empty(0, np.int64)
-    plain = Frequent(total, distinct, texts, word, np.array([r.n for r in few], np.int64), none, none)
+    known = Frequent(total, distinct, texts, word, np.array([r.n for r in few], np.int64), none, none, none, none)
 
-    def both(t: _Tokens) -> np.ndarray:
-        pair = plain.pairs(t.word, t.before)
+    def kept(of) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a ten-thousandth of all tokens or more, and their counts."""
+        rows = _counted(docs, of).where(F.col("n") * config.frequent_pairs >= total).collect() if total else []
+        rows.sort(key=lambda r: r.key)
+        return np.array([r.key for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+
+    def both(t: _Tokens, f: Frequent = known) -> np.ndarray:
+        pair = f.pairs(t.word, t.before)
         return pair[pair >= 0].astype(U64)
 
-    pairs = _counted(docs, both).where(F.col("n") * config.frequent_pairs >= total).collect() if total else []
-    pairs.sort(key=lambda r: r.key)
-    return Frequent(total, distinct, texts, word, plain.count, np.array([r.key for r in pairs], np.int64), np.array([r.n for r in pairs], np.int64))
+    pair, pair_count = kept(both)
+    known = Frequent(total, distinct, texts, word, known.count, pair, pair_count, none, none)
+
+    def three(t: _Tokens, f: Frequent = known) -> np.ndarray:
+        triple = f.triples(_found(f.pair, f.pairs(t.word, t.before)), t.further)
+        return triple[triple >= 0].astype(U64)
+
+    triple, triple_count = kept(three) if len(pair) else (none, none)
+    return Frequent(total, distinct, texts, word, known.count, pair, pair_count, triple, triple_count)
 
 
 _PLACE = np.dtype([("doc", "<u2"), ("score", "<f8"), ("base", "<f8"), ("known", "<u4")])
 
 
-def _packed(word: np.ndarray, context: np.ndarray, text: np.ndarray, learnt: np.ndarray) -> bytes:
-    """Pairs sorted by word and context: each distinct pair once, with its places; five bytes a context."""
-    order = np.lexsort((text, context, word))
-    word, context, mark = word[order], context[order], (text | (learnt.astype(np.int64) << 15))[order].astype("<u2")
-    new = np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
-    head = np.flatnonzero(new)
-    own, many_pairs = np.unique(word[head], return_counts=True)
-    times = np.diff(np.append(head, len(word))).astype("<u4")
-    low = context[head].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8]
-    front = np.array([len(own), len(head), len(word)], "<i8").tobytes()
-    sizes = zlib.compress(many_pairs.astype("<u4").tobytes() + times.tobytes(), 1)
-    return front + np.array([len(sizes)], "<i8").tobytes() + own.tobytes() + np.ascontiguousarray(low).tobytes() + mark.tobytes() + sizes
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word, context and times of each distinct pair, and the marks of all places."""
-    a, b, c, size = np.frombuffer(blob, "<i8", 4)
-    own = np.frombuffer(blob, "<u8", a, 32)
-    at = 32 + 8 * a
-    low = np.frombuffer(blob, np.uint8, b * 5, at).reshape(b, 5)
-    at += 5 * b
-    mark = np.frombuffer(blob, "<u2", c, at)
-    sizes = np.frombuffer(zlib.decompress(blob[at + 2 * c : at + 2 * c + size]), "<u4")
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted table's rows differ from those before them."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def _packed(word: np.ndarray, context: np.ndarray, further: np.ndarray, text: np.ndarray, learnt: np.ndarray) -> bytes:
+    """Triples sorted by word, context and further: each distinct one once, with its places; five bytes a context, four a further."""
+    order = np.lexsort((text, further, context, word))
+    word, context, further, mark = word[order], context[order], further[order], (text | (learnt.astype(np.int64) << 15))[order].astype("<u2")
+    triple, pair, own = _heads(word, context, further), _heads(word, context), _heads(word)
+    many = lambda inner, outer: np.diff(np.append(np.searchsorted(inner, outer), len(inner))).astype("<u4")
+    times = np.diff(np.append(triple, len(word))).astype("<u4")
+    sizes = zlib.compress(many(pair, own).tobytes() + many(triple, pair).tobytes() + times.tobytes(), 1)
+    low = np.ascontiguousarray(context[pair].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8])
+    front = np.array([len(own), len(pair), len(triple), len(word), len(sizes)], "<i8")
+    return front.tobytes() + word[own].tobytes() + further[triple].astype("<u4").tobytes() + low.tobytes() + mark.tobytes() + sizes
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word, context, further and times of each distinct triple, and the marks of all places."""
+    a, b, c, d, size = np.frombuffer(blob, "<i8", 5)
+    own = np.frombuffer(blob, "<u8", a, 40)
+    further = np.frombuffer(blob, "<u4", c, 40 + 8 * a).astype(U64)
+    at = 40 + 8 * a + 4 * c
     context = np.zeros((b, 8), np.uint8)
-    context[:, :5] = low
-    return np.repeat(own, sizes[:a]), context.view("<u8")[:, 0], sizes[a:].astype(np.int64), mark
+    context[:, :5] = np.frombuffer(blob, np.uint8, b * 5, at).reshape(b, 5)
+    at += 5 * b
+    mark = np.frombuffer(blob, "<u2", d, at)
+    sizes = np.frombuffer(zlib.decompress(blob[at + 2 * d : at + 2 * d + size]), "<u4")
+    in_pair = sizes[a : a + b]
+    return np.repeat(np.repeat(own, sizes[:a]), in_pair), np.repeat(context.view("<u8")[:, 0], in_pair), further, sizes[a + b :].astype(np.int64), mark
 
 
 def _sent(docs: DataFrame, known: Frequent, shards: int, config: ModelConfig) -> DataFrame:
     """shard, chunk, kind, data: places for each shard (kind 0), and each chunk's own rows (kind 1)."""
     broadcast = shared(docs.sparkSession, known)
-    m = config.pseudo
+    m, a = config.pseudo, config.pair_weight
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Frequent = broadcast.value
@@ -225,96 +287,120 @@ def _sent(docs: DataFrame, known: Frequent, shards: int, config: ModelConfig) ->
                 ids = batch.column("doc_id").slice(at.start, n)
                 out = np.asarray(batch.column("held_out").slice(at.start, n).to_numpy(zero_copy_only=False), bool)
                 number = f.number(t.word)
-                base, score, seen = np.zeros(n), np.full(n, -np.log10(f.texts + m)), np.zeros(n, np.int64)
+                base, score, seen = np.zeros(n), np.full(n, -np.log10((1 + a) * f.texts + m)), np.zeros(n, np.int64)
                 own = number >= 0
-                c = f.count[number[own]] if own.any() else np.empty(0, np.int64)
-                base += np.bincount(t.text[own], np.log10(c + 0.5) - log_mass, n)
-                seen += np.bincount(t.text[own], minlength=n)
-                inner = own & (t.word != _END)
-                score -= np.bincount(t.text[inner], np.log10(f.count[number[inner]] + m) if inner.any() else None, n)
-                pair = f.pairs(t.word, t.before)
-                place = np.minimum(np.searchsorted(f.pair, pair), max(len(f.pair) - 1, 0))
-                local = (f.pair[place] == pair) if len(f.pair) else np.zeros(len(pair), bool)
-                p = (f.count[number[local]] + 0.5) / f.mass if local.any() else np.empty(0)
-                score += np.bincount(t.text[local], np.log10(f.pair_count[place[local]] + m * p) if local.any() else None, n)
-                away = np.flatnonzero(~local)
+                some = np.flatnonzero(own)
+                base += np.bincount(t.text[some], np.log10(f.count[number[some]] + 0.5) - log_mass, n)
+                seen += np.bincount(t.text[some], minlength=n)
+                pair = _found(f.pair, f.pairs(t.word, t.before))
+                some = np.flatnonzero((pair >= 0) & (t.word != _END))
+                score -= np.bincount(t.text[some], np.log10(f.pair_count[pair[some]] + a * f.count[number[some]] + m), n)
+                triple = _found(f.triple, f.triples(pair, t.further))
+                some = np.flatnonzero(triple >= 0)
+                p = (f.count[number[some]] + 0.5) / f.mass
+                score += np.bincount(t.text[some], np.log10(f.triple_count[triple[some]] + a * f.pair_count[pair[some]] + m * p), n)
+                away = np.flatnonzero(triple < 0)
                 chunk = (TaskContext.get().partitionId() << 32) + part
                 part += 1
                 rest = np.rec.fromarrays([base, score, seen, np.bincount(t.text, minlength=n), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), out], names="base,score,seen,tokens,doc,null,out")
                 rows = [(chunk % shards, chunk, 1, rest.tobytes())]
-                context = _context(t.before[away])
-                to = np.where(own[away], mix(t.word[away] + context), t.word[away]) % U64(shards)
+                word, context, further = t.word[away], _context(t.before[away]), _further(t.further[away])
+                name = _pair_name(word, context)
+                to = np.where(pair[away] >= 0, mix(name + further), np.where(own[away], name, word)) % U64(shards)
                 order = np.argsort(to, kind="stable")
                 met, cut = np.unique(to[order], return_index=True)  # only shards that the chunk has tokens for
-                for s, some in zip(met.tolist(), np.split(order, cut[1:]), strict=True) if len(met) else ():
-                    i = away[some]
-                    rows.append((s, chunk, 0, _packed(t.word[i], context[some], t.text[i], ~out[t.text[i]])))
-                a, b, k, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["shard", "chunk", "kind", "data"])
+                for s, i in zip(met.tolist(), np.split(order, cut[1:]), strict=True) if len(met) else ():
+                    text = t.text[away[i]]
+                    rows.append((s, chunk, 0, _packed(word[i], context[i], further[i], text, ~out[text])))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "chunk", "kind", "data"])
 
     return docs.mapInArrow(told, "shard long, chunk long, kind int, data binary")
 
 
-def build(word: np.ndarray, context: np.ndarray, count: np.ndarray, known: Frequent, pseudo: float) -> Trie:
-    """The trie of a shard's pairs (not all distinct) with their training counts."""
-    order = np.lexsort((context, word))
-    word, context, count = word[order], context[order], count[order]
-    new = np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]) if len(word) else np.empty(0, bool)
-    head = np.flatnonzero(new)
-    total = np.add.reduceat(count, head) if len(head) else np.empty(0, np.int64)
-    keep = total > 0
-    word, context, total = word[head][keep], context[head][keep], total[keep]
-    names, at = np.unique(word, return_inverse=True)
-    counts = np.bincount(at, total, len(names)).astype(np.int64)
+def build(word: np.ndarray, context: np.ndarray, further: np.ndarray, count: np.ndarray, known: Frequent, config: ModelConfig) -> Trie:
+    """The trie of a shard's triples (not all distinct) with their training counts."""
+    keep = count > 0
+    word, context, further, count = word[keep], context[keep], further[keep], count[keep]
+    order = np.lexsort((further, context, word))
+    word, context, further, count = word[order], context[order], further[order], count[order]
+    triple, pair, own = _heads(word, context, further), _heads(word, context), _heads(word)
+    summed = lambda at: np.add.reduceat(count, at) if len(at) else np.empty(0, np.int64)
+    of_pair = np.repeat(np.arange(len(pair)), np.diff(np.append(np.searchsorted(triple, pair), len(triple))))
+    of_word = np.repeat(np.arange(len(own)), np.diff(np.append(np.searchsorted(pair, own), len(pair))))
+    names = word[own]
     number = known.number(names)
-    counts = np.where(number >= 0, known.count[number] if len(known.count) else 0, counts)
-    values = np.log10(total + pseudo * (counts[at] + 0.5) / known.mass)
-    return Trie.of(names, counts, at, context, values)
-
-
-def _scored(table: pa.Table, known: Frequent, pseudo: float) -> pa.Table:
+    one = summed(own)
+    one[number >= 0] = known.count[number[number >= 0]]
+    pair_names, pair_counts = known.pair_names()
+    at = _found(pair_names, _pair_name(word[pair], context[pair]))
+    two = summed(pair)
+    two[at >= 0] = pair_counts[at[at >= 0]]
+    m, a = config.pseudo, config.pair_weight
+    alone = a * two + m * (one[of_word] + 0.5) / known.mass
+    weight, value = np.log10(two + a * one[of_word] + m), np.log10(summed(triple) + alone[of_pair])
+    second = Level.of(len(own), of_word, context[pair], CONTEXT_BITS)
+    third = Level.of(len(pair), of_pair, further[triple], FURTHER_BITS)
+    return Trie(EliasFano.of(names, 64), one.astype(np.int64), second, Values.of(np.log10(alone)), Values.of(weight), third, Values.of(value))
+
+
+def _scored(table: pa.Table, known: Frequent, config: ModelConfig) -> pa.Table:
     """chunk, kind, data: a shard's partial sums (kind 0) and what passes through (kind 1)."""
-    kind, chunk = table["kind"].to_numpy(), table["chunk"].to_numpy()
-    data = table["data"]
-    blobs = [(int(chunk[i]), *_unpacked(data[int(i)].as_py())) for i in np.flatnonzero(kind == 0)]
+    kind, chunk, data = table["kind"].to_numpy(), table["chunk"].to_numpy(), table["data"]
+    held = [(int(chunk[i]), data[int(i)].as_py()) for i in np.flatnonzero(kind == 0)]
     out = [(int(chunk[i]), 1, data[int(i)].as_py()) for i in np.flatnonzero(kind == 1)]
-    if blobs:
-        learnt = []
-        for _, _, _, times, mark in blobs:
-            start = np.cumsum(times) - times
-            learnt.append(np.add.reduceat((mark >> 15).astype(np.int64), start))
-        word, context = np.concatenate([b[1] for b in blobs]), np.concatenate([b[2] for b in blobs])
+    if held:
+        columns = []
+        for _, blob in held:
+            word, context, further, times, mark = _unpacked(blob)
+            learnt = np.add.reduceat((mark >> 15).astype(np.int64), np.cumsum(times) - times)
+            columns.append((word, context, further, learnt))
+        joined = [np.concatenate(c) for c in zip(*columns, strict=True)]
+        del columns
         with tempfile.TemporaryDirectory(prefix="loam-trie-") as folder:  # mapped, so its pages can leave memory again
             path = os.path.join(folder, "trie")
             with open(path, "wb") as f:
-                f.write(build(word, context, np.concatenate(learnt), known, pseudo).dump())
+                f.write(build(*joined, known, config).dump())
             trie = Trie.open(path)
-        log_mass = np.log10(known.mass)
-        for name, own, ctx, times, mark in blobs:
-            number = trie.find(own)
-            frequent = known.number(own)
-            count = np.where(number >= 0, trie.counts[number] if trie.words.n else 0, 0)
-            count = np.where(frequent >= 0, known.count[frequent] if len(known.count) else 0, count)
-            value = trie.values(number, ctx)
-            lacks = np.isnan(value)
-            value[lacks] = np.log10(pseudo * (count[lacks] + 0.5) / known.mass)
-            # What concerns the word alone was added where the text is, if the word is frequent.
-            rare = frequent < 0
-            score = value - np.where(rare & (own != _END), np.log10(count + pseudo), 0.0)
-            base = np.where(rare, np.log10(count + 0.5) - log_mass, 0.0)
-            doc = np.repeat(np.arange(len(times)), times)
-            text = (mark & 0x7FFF).astype(np.int64)
-            n = int(text.max()) + 1
-            sums = [np.bincount(text, x[doc], n) for x in (score, base, (rare & (count > 0)).astype(float))]
-            some = np.flatnonzero(np.bincount(text, minlength=n))
-            part = np.empty(len(some), _PLACE)
-            part["doc"], part["score"], part["base"], part["known"] = some, sums[0][some], sums[1][some], sums[2][some]
-            out.append((name, 0, part.tobytes()))
+        del joined
+        pair_names, pair_counts = known.pair_names()
+        for name, blob in held:
+            out.append((name, 0, _sums(trie, *_unpacked(blob), known, config, pair_names, pair_counts)))
     a, b, c = zip(*out, strict=True) if out else ((), (), ())
     give_back()
     return pa.table({"chunk": pa.array(a, pa.int64()), "kind": pa.array(b, pa.int32()), "data": pa.array(c, pa.binary())})
 
 
+def _sums(trie: Trie, word: np.ndarray, context: np.ndarray, further: np.ndarray, times: np.ndarray, mark: np.ndarray, known: Frequent, config: ModelConfig, pair_names: np.ndarray, pair_counts: np.ndarray) -> bytes:
+    """Partial sums of a chunk's texts over its triples."""
+    m, a = config.pseudo, config.pair_weight
+    number, frequent_word = trie.find(word), known.number(word)
+    one = np.zeros(len(word), np.int64)
+    one[number >= 0] = trie.counts[number[number >= 0]]
+    one[frequent_word >= 0] = known.count[frequent_word[frequent_word >= 0]]
+    pair = trie.second.find(number, context)
+    value, alone, weight = trie.value.get(trie.third.find(pair, further)), trie.alone.get(pair), trie.weight.get(pair)
+    often = _found(pair_names, _pair_name(word, context))
+    two = np.zeros(len(word), np.int64)
+    two[often >= 0] = pair_counts[often[often >= 0]]
+    lacks = np.isnan(alone)
+    alone[lacks] = np.log10(a * two[lacks] + m * (one[lacks] + 0.5) / known.mass)
+    weight[lacks] = np.log10(a * one[lacks] + m)
+    score = np.where(np.isnan(value), alone, value)
+    # What a frequent pair is as a context was added where the text is, and so was the base of frequent words.
+    score -= np.where((often < 0) & (word != _END), weight, 0.0)
+    rare = frequent_word < 0
+    base = np.where(rare, np.log10(one + 0.5) - np.log10(known.mass), 0.0)
+    place = np.repeat(np.arange(len(times)), times)
+    text = (mark & 0x7FFF).astype(np.int64)
+    n = int(text.max()) + 1
+    sums = [np.bincount(text, x[place], n) for x in (score, base, (rare & (one > 0)).astype(float))]
+    some = np.flatnonzero(np.bincount(text, minlength=n))
+    part = np.empty(len(some), _PLACE)
+    part["doc"], part["score"], part["base"], part["known"] = some, sums[0][some], sums[1][some], sums[2][some]
+    return part.tobytes()
+
+
 _REST = np.dtype([("base", "<f8"), ("score", "<f8"), ("seen", "<i8"), ("tokens", "<i8"), ("doc", "<i8"), ("null", "?"), ("out", "?")])
 
 
@@ -339,8 +425,8 @@ def score(docs: DataFrame, config: ModelConfig | None = None) -> DataFrame:
         known = frequent(rows, config)
         shards = max(config.least_shards, -(-known.total // config.tokens_a_shard))
         broadcast = shared(docs.sparkSession, known)
-        pseudo, total = config.pseudo, known.total
-        sums = _sent(rows, known, shards, config).groupBy("shard").applyInArrow(lambda t: _scored(t, broadcast.value, pseudo), "chunk long, kind int, data binary")
+        total = known.total
+        sums = _sent(rows, known, shards, config).groupBy("shard").applyInArrow(lambda t: _scored(t, broadcast.value, config), "chunk long, kind int, data binary")
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         out = written(sums.groupBy("chunk").applyInArrow(lambda t: _added(t, total), schema), "lm-scores")
         own.keep(out)

@@ -150,23 +150,31 @@ def test_decontamination(spark, docs, empty, texts):
     assert {r.doc_id for r in decontamination.keep_clean(docs, bench).collect()} == {i for i, x in expected.items() if not x[4]}
 
 
-def test_language_model(docs, empty, texts):
+def test_language_model(spark, docs, empty, texts):
+    texts = texts | {30: "same same same", 31: "a b a b a b a b", 32: "b a"}
+    rows = [(i, t, "en", "s", 0, "clash", 1.0) for i, t in texts.items()]
+    docs = spark.createDataFrame([*rows, (None, "a b never learnt", "en", "s", 0, "", 0.0)], DOCS).repartition(3)
     listed = {i: (t or "").encode().lower().split() + ["</s>"] for i, t in texts.items()}
     learnt = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i in texts}
-    one, two = collections.Counter(), collections.Counter()
+    places = lambda w: zip(["<s>", "<s>", *w], ["<s>", *w], w)
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for i, w in listed.items():
         if learnt[i]:
             one.update(w)
             two.update(zip(["<s>", *w], w))
+            three.update(places(w))
     total, mass = sum(one.values()), sum(one.values()) + 0.5 * (len(one) + 1)
-    context = collections.Counter(one)
-    context["<s>"] = sum(learnt.values())
-    for config in (language_model.ModelConfig(), language_model.ModelConfig(frequent=3, frequent_pairs=20, least_shards=2)):
-        got = {r.doc_id: r for r in language_model.score(docs, config).collect()}
-        assert set(got) == set(texts)
+    context, contexts = collections.Counter(one), collections.Counter(two)
+    context["<s>"] = contexts["<s>", "<s>"] = sum(learnt.values())
+    for config in (language_model.ModelConfig(), language_model.ModelConfig(frequent=3, frequent_pairs=20, least_shards=2), language_model.ModelConfig(frequent=300, frequent_pairs=300, pair_weight=0.3)):
+        a, m = config.pair_weight, config.pseudo
+        rows = language_model.score(docs, config).collect()
+        got = {r.doc_id: r for r in rows}
+        assert len(rows) == len(texts) + 1
+        assert got[None].held_out
         for i, w in listed.items():
             base = sum(math.log10((one[x] + 0.5) / mass) for x in w)
-            score = sum(math.log10(two[h, x] + 8 * (one[x] + 0.5) / mass) - math.log10(context[h] + 8) for h, x in zip(["<s>", *w], w))
+            score = sum(math.log10((three[u, v, x] + a * two[v, x] + m * (one[x] + 0.5) / mass) / (contexts[u, v] + a * context[v] + m)) for u, v, x in places(w))
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learnt[i], len(w), sum(one[x] > 0 for x in w), total)
             assert r.base_score == pytest.approx(base)

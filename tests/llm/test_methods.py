@@ -1,5 +1,7 @@
 """The data structures alone, against plain computations."""
 
+import collections
+
 import numpy as np
 import pytest
 
@@ -35,17 +37,36 @@ def test_elias_fano(n):
 
 
 def test_trie_from_a_file(tmp_path):
+    """Counts, both values of pairs and those of triples, looked up in a mapped file."""
     rng = np.random.default_rng(3)
+    none = np.empty(0, np.int64)
+    known = language_model.Frequent(5000, 300, 10, np.empty(0, U64), none, none, none, none, none)
+    config = language_model.ModelConfig()
     names = np.unique(rng.integers(0, 1 << 63, 300).astype(U64))
-    pairs = np.unique(np.stack([rng.integers(0, len(names), 2000), rng.integers(0, 1 << 40, 2000)]), axis=1)
-    values = rng.normal(size=pairs.shape[1])
-    trie = eliasfano.Trie.of(names, np.arange(len(names)), pairs[0], pairs[1].astype(U64), values)
-    (tmp_path / "trie").write_bytes(trie.dump())
+    word, context, further = names[rng.integers(0, len(names), 4000)], rng.integers(0, 1 << 40, 40)[rng.integers(0, 40, 4000)].astype(U64), rng.integers(0, 5, 4000).astype(U64)
+    count = rng.integers(0, 4, 4000)
+    (tmp_path / "trie").write_bytes(language_model.build(word, context, further, count, known, config).dump())
     trie = eliasfano.Trie.open(str(tmp_path / "trie"))
-    assert (trie.find(names) == np.arange(len(names))).all()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for w, v, u, c in zip(word.tolist(), context.tolist(), further.tolist(), count.tolist()):
+        one[w] += c
+        two[w, v] += c
+        three[w, v, u] += c
+    number = trie.find(word)
+    pair = trie.second.find(number, context)
+    triple = trie.third.find(pair, further)
+    for i, (w, v, u) in enumerate(zip(word.tolist(), context.tolist(), further.tolist())):
+        assert (number[i] >= 0, pair[i] >= 0, triple[i] >= 0) == (one[w] > 0, two[w, v] > 0, three[w, v, u] > 0)
+    part = config.pseudo / known.mass
+    for at, values, expected in (
+        (pair, trie.alone, [config.pair_weight * two[k] + part * (one[k[0]] + 0.5) for k in zip(word.tolist(), context.tolist())]),
+        (pair, trie.weight, [two[k] + config.pair_weight * one[k[0]] + config.pseudo for k in zip(word.tolist(), context.tolist())]),
+        (triple, trie.value, [three[k] + config.pair_weight * two[k[:2]] + part * (one[k[0]] + 0.5) for k in zip(word.tolist(), context.tolist(), further.tolist())]),
+    ):
+        assert np.allclose(values.get(at)[at >= 0], np.log10(expected)[at >= 0], atol=1e-3)
+    assert (trie.counts[number[number >= 0]] == np.array([one[w] for w in word.tolist()])[number >= 0]).all()
     assert trie.find(np.array([12345], U64))[0] == -1
-    assert np.allclose(trie.values(pairs[0], pairs[1].astype(U64)), values, atol=1e-3)
-    assert np.isnan(trie.values(pairs[0], pairs[1].astype(U64) ^ U64(1 << 39))).all()
+    assert (trie.second.find(number, context ^ U64(1 << 39)) == -1).all()
 
 
 def test_fm_index_counts_and_statistics():
@@ -152,7 +173,8 @@ def test_whole_licence_texts_are_spans(k):
 
 
 def test_model_sums_to_one():
-    known = language_model.Frequent(100, 3, 10, np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-    c, ch, m = {"a": 50, "b": 30, "e": 20}, {"a": 5, "b": 1}, 8.0
-    total = sum((ch.get(w, 0) + m * (c.get(w, 0) + 0.5) / known.mass) / (6 + m) for w in [*c, "unknown"])
+    one, two, three = {"a": 50, "b": 30, "e": 20}, {"a": 5, "b": 1}, {"a": 2}
+    config, mass = language_model.ModelConfig(), 100 + 0.5 * 4
+    a, m = config.pair_weight, config.pseudo
+    total = sum((three.get(w, 0) + a * two.get(w, 0) + m * (one.get(w, 0) + 0.5) / mass) / (2 + a * 6 + m) for w in [*one, "unknown"])
     assert total == pytest.approx(1)
