@@ -34,6 +34,7 @@ import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -245,10 +246,8 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packed(word: np.ndarray, context: np.ndarray, further: np.ndarray, text: np.ndarray, learnt: np.ndarray) -> bytes:
-    """Triples sorted by word, context and further: each distinct one once, with its places; five bytes a context, four a further."""
-    order = np.lexsort((text, further, context, word))
-    word, context, further, mark = word[order], context[order], further[order], (text | (learnt.astype(np.int64) << 15))[order].astype("<u2")
+def _packed(word: np.ndarray, context: np.ndarray, further: np.ndarray, mark: np.ndarray) -> bytes:
+    """Triples in the order of word, context and further: each distinct one once, with its places; five bytes a context, four a further."""
     triple, pair, own = _heads(word, context, further), _heads(word, context), _heads(word)
     many = lambda inner, outer: np.diff(np.append(np.searchsorted(inner, outer), len(inner))).astype("<u4")
     times = np.diff(np.append(triple, len(word))).astype("<u4")
@@ -258,19 +257,64 @@ def _packed(word: np.ndarray, context: np.ndarray, further: np.ndarray, text: np
     return front.tobytes() + word[own].tobytes() + further[triple].astype("<u4").tobytes() + low.tobytes() + mark.tobytes() + sizes
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word, context, further and times of each distinct triple, and the marks of all places."""
+@dataclass
+class _Places:
+    """What _packed() holds: words; words before them, and how many each word has; words before those; times and marks of places."""
+
+    word: np.ndarray
+    context: np.ndarray
+    of_word: np.ndarray
+    further: np.ndarray
+    of_pair: np.ndarray
+    times: np.ndarray
+    mark: np.ndarray
+
+
+def _unpacked(blob: bytes) -> _Places:
     a, b, c, d, size = np.frombuffer(blob, "<i8", 5)
     own = np.frombuffer(blob, "<u8", a, 40)
-    further = np.frombuffer(blob, "<u4", c, 40 + 8 * a).astype(U64)
+    further = np.frombuffer(blob, "<u4", c, 40 + 8 * a)
     at = 40 + 8 * a + 4 * c
     context = np.zeros((b, 8), np.uint8)
     context[:, :5] = np.frombuffer(blob, np.uint8, b * 5, at).reshape(b, 5)
     at += 5 * b
     mark = np.frombuffer(blob, "<u2", d, at)
     sizes = np.frombuffer(zlib.decompress(blob[at + 2 * d : at + 2 * d + size]), "<u4")
-    in_pair = sizes[a : a + b]
-    return np.repeat(np.repeat(own, sizes[:a]), in_pair), np.repeat(context.view("<u8")[:, 0], in_pair), further, sizes[a + b :].astype(np.int64), mark
+    return _Places(own, context.view("<u8")[:, 0], sizes[:a], further, sizes[a : a + b], sizes[a + b :].astype(np.int64), mark)
+
+
+_FURTHER = U64((1 << FURTHER_BITS) - 1)
+_CONTEXT = U64((1 << CONTEXT_BITS) - 1)
+
+
+@dataclass
+class Grams:
+    """Distinct words, pairs and triples of a shard, sorted; a pair is its word's number and the context, a triple its pair's number and the further one."""
+
+    word: np.ndarray
+    pair: np.ndarray
+    triple: np.ndarray
+
+    @staticmethod
+    def of(word: np.ndarray, context: np.ndarray, of_word: np.ndarray, further: np.ndarray, of_pair: np.ndarray) -> tuple[Grams, np.ndarray]:
+        """The grams, and the number of the triple that each entry of further is."""
+        names, at = np.unique(word, return_inverse=True)
+        pairs, at = np.unique((np.repeat(at, of_word).astype(U64) << U64(CONTEXT_BITS)) | context.astype(U64), return_inverse=True)
+        triples, at = np.unique((np.repeat(at, of_pair).astype(U64) << U64(FURTHER_BITS)) | further.astype(U64), return_inverse=True)
+        return Grams(names, pairs, triples), at
+
+    @property
+    def word_of(self) -> np.ndarray:
+        """The number of each pair's word."""
+        return (self.pair >> U64(CONTEXT_BITS)).astype(np.int64)
+
+    @property
+    def pair_of(self) -> np.ndarray:
+        """The number of each triple's pair."""
+        return (self.triple >> U64(FURTHER_BITS)).astype(np.int64)
+
+    def pair_names(self) -> np.ndarray:
+        return _pair_name(self.word[self.word_of], self.pair & _CONTEXT)
 
 
 def _sent(docs: DataFrame, known: Frequent, shards: int, config: ModelConfig) -> DataFrame:
@@ -307,98 +351,93 @@ def _sent(docs: DataFrame, known: Frequent, shards: int, config: ModelConfig) ->
                 word, context, further = t.word[away], _context(t.before[away]), _further(t.further[away])
                 name = _pair_name(word, context)
                 to = np.where(pair[away] >= 0, mix(name + further), np.where(own[away], name, word)) % U64(shards)
-                order = np.argsort(to, kind="stable")
-                met, cut = np.unique(to[order], return_index=True)  # only shards that the chunk has tokens for
-                for s, i in zip(met.tolist(), np.split(order, cut[1:]), strict=True) if len(met) else ():
-                    text = t.text[away[i]]
-                    rows.append((s, chunk, 0, _packed(word[i], context[i], further[i], text, ~out[text])))
+                one = np.ones(len(away), np.int64)
+                _, gram = Grams.of(word, context, one, further, one)
+                order = np.argsort((to << U64(max(1, len(away).bit_length()))) | gram.astype(U64), kind="stable")
+                text = t.text[away]
+                mark = (text | ((~out[text]).astype(np.int64) << 15)).astype("<u2")
+                to, word, context, further, mark = (x[order] for x in (to, word, context, further, mark))
+                cut = np.append(_heads(to), len(to)).tolist()  # only shards that the chunk has tokens for
+                rows += [(int(to[i]), chunk, 0, _packed(word[i:j], context[i:j], further[i:j], mark[i:j])) for i, j in pairwise(cut)]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "chunk", "kind", "data"])
 
     return docs.mapInArrow(told, "shard long, chunk long, kind int, data binary")
 
 
-def build(word: np.ndarray, context: np.ndarray, further: np.ndarray, count: np.ndarray, known: Frequent, config: ModelConfig) -> Trie:
-    """The trie of a shard's triples (not all distinct) with their training counts."""
-    keep = count > 0
-    word, context, further, count = word[keep], context[keep], further[keep], count[keep]
-    order = np.lexsort((further, context, word))
-    word, context, further, count = word[order], context[order], further[order], count[order]
-    triple, pair, own = _heads(word, context, further), _heads(word, context), _heads(word)
-    summed = lambda at: np.add.reduceat(count, at) if len(at) else np.empty(0, np.int64)
-    of_pair = np.repeat(np.arange(len(pair)), np.diff(np.append(np.searchsorted(triple, pair), len(triple))))
-    of_word = np.repeat(np.arange(len(own)), np.diff(np.append(np.searchsorted(pair, own), len(pair))))
-    names = word[own]
+def build(grams: Grams, count: np.ndarray, known: Frequent, config: ModelConfig) -> Trie:
+    """The trie of a shard's triples that have training counts (count: each triple's)."""
+    three = np.flatnonzero(count)
+    two = np.bincount(grams.pair_of, count, len(grams.pair)).astype(np.int64)
+    one = np.bincount(grams.word_of, two, len(grams.word)).astype(np.int64)
+    pair, own = np.flatnonzero(two), np.flatnonzero(one)
+    new_pair, new_word = np.cumsum(two > 0) - 1, np.cumsum(one > 0) - 1
+    names, of_word, of_pair = grams.word[own], new_word[grams.word_of[pair]], new_pair[grams.pair_of[three]]
+    one, two = one[own], two[pair]
     number = known.number(names)
-    one = summed(own)
     one[number >= 0] = known.count[number[number >= 0]]
     pair_names, pair_counts = known.pair_names()
-    at = _found(pair_names, _pair_name(word[pair], context[pair]))
-    two = summed(pair)
+    at = _found(pair_names, grams.pair_names()[pair])
     two[at >= 0] = pair_counts[at[at >= 0]]
     m, a = config.pseudo, config.pair_weight
     alone = a * two + m * (one[of_word] + 0.5) / known.mass
-    weight, value = np.log10(two + a * one[of_word] + m), np.log10(summed(triple) + alone[of_pair])
-    second = Level.of(len(own), of_word, context[pair], CONTEXT_BITS)
-    third = Level.of(len(pair), of_pair, further[triple], FURTHER_BITS)
-    return Trie(EliasFano.of(names, 64), one.astype(np.int64), second, Values.of(np.log10(alone)), Values.of(weight), third, Values.of(value))
+    weight, value = np.log10(two + a * one[of_word] + m), np.log10(count[three] + alone[of_pair])
+    second = Level.of(len(own), of_word, grams.pair[pair] & _CONTEXT, CONTEXT_BITS)
+    third = Level.of(len(pair), of_pair, grams.triple[three] & _FURTHER, FURTHER_BITS)
+    return Trie(EliasFano.of(names, 64), one, second, Values.of(np.log10(alone)), Values.of(weight), third, Values.of(value))
 
 
 def _scored(table: pa.Table, known: Frequent, config: ModelConfig) -> pa.Table:
     """chunk, kind, data: a shard's partial sums (kind 0) and what passes through (kind 1)."""
     kind, chunk, data = table["kind"].to_numpy(), table["chunk"].to_numpy(), table["data"]
-    held = [(int(chunk[i]), data[int(i)].as_py()) for i in np.flatnonzero(kind == 0)]
+    places = [(int(chunk[i]), _unpacked(data[int(i)].as_py())) for i in np.flatnonzero(kind == 0)]
     out = [(int(chunk[i]), 1, data[int(i)].as_py()) for i in np.flatnonzero(kind == 1)]
-    if held:
-        columns = []
-        for _, blob in held:
-            word, context, further, times, mark = _unpacked(blob)
-            learnt = np.add.reduceat((mark >> 15).astype(np.int64), np.cumsum(times) - times)
-            columns.append((word, context, further, learnt))
-        joined = [np.concatenate(c) for c in zip(*columns, strict=True)]
-        del columns
+    if places:
+        grams, at = Grams.of(*(np.concatenate([getattr(x, c) for _, x in places]) for c in ("word", "context", "of_word", "further", "of_pair")))
+        learnt = np.concatenate([np.add.reduceat((x.mark >> 15).astype(np.int64), np.cumsum(x.times) - x.times) for _, x in places])
+        count = np.bincount(at, learnt, len(grams.triple)).astype(np.int64)
         with tempfile.TemporaryDirectory(prefix="loam-trie-") as folder:  # mapped, so its pages can leave memory again
             path = os.path.join(folder, "trie")
             with open(path, "wb") as f:
-                f.write(build(*joined, known, config).dump())
-            trie = Trie.open(path)
-        del joined
-        pair_names, pair_counts = known.pair_names()
-        for name, blob in held:
-            out.append((name, 0, _sums(trie, *_unpacked(blob), known, config, pair_names, pair_counts)))
+                f.write(build(grams, count, known, config).dump())
+            looked = _looked_up(Trie.open(path), grams, known, config)
+        cut = np.cumsum([0, *(len(x.further) for _, x in places)])
+        for (name, x), i, j in zip(places, cut[:-1], cut[1:], strict=True):
+            text = (x.mark & 0x7FFF).astype(np.int64)
+            n = int(text.max()) + 1
+            sums = [np.bincount(text, np.repeat(v[at[i:j]], x.times), n) for v in looked]
+            some = np.flatnonzero(np.bincount(text, minlength=n))
+            part = np.empty(len(some), _PLACE)
+            part["doc"], part["score"], part["base"], part["known"] = some, sums[0][some], sums[1][some], sums[2][some]
+            out.append((name, 0, part.tobytes()))
     a, b, c = zip(*out, strict=True) if out else ((), (), ())
     give_back()
     return pa.table({"chunk": pa.array(a, pa.int64()), "kind": pa.array(b, pa.int32()), "data": pa.array(c, pa.binary())})
 
 
-def _sums(trie: Trie, word: np.ndarray, context: np.ndarray, further: np.ndarray, times: np.ndarray, mark: np.ndarray, known: Frequent, config: ModelConfig, pair_names: np.ndarray, pair_counts: np.ndarray) -> bytes:
-    """Partial sums of a chunk's texts over its triples."""
+def _looked_up(trie: Trie, grams: Grams, known: Frequent, config: ModelConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each triple adds to its texts: to the score, to the base score, to the known tokens."""
     m, a = config.pseudo, config.pair_weight
-    number, frequent_word = trie.find(word), known.number(word)
-    one = np.zeros(len(word), np.int64)
-    one[number >= 0] = trie.counts[number[number >= 0]]
-    one[frequent_word >= 0] = known.count[frequent_word[frequent_word >= 0]]
-    pair = trie.second.find(number, context)
-    value, alone, weight = trie.value.get(trie.third.find(pair, further)), trie.alone.get(pair), trie.weight.get(pair)
-    often = _found(pair_names, _pair_name(word, context))
-    two = np.zeros(len(word), np.int64)
-    two[often >= 0] = pair_counts[often[often >= 0]]
-    lacks = np.isnan(alone)
-    alone[lacks] = np.log10(a * two[lacks] + m * (one[lacks] + 0.5) / known.mass)
-    weight[lacks] = np.log10(a * one[lacks] + m)
-    score = np.where(np.isnan(value), alone, value)
+    word_of, pair_of = grams.word_of, grams.pair_of
+    number, often = trie.find(grams.word), known.number(grams.word)
+    one = np.where(number >= 0, trie.counts[number] if trie.words.n else 0, 0)
+    one[often >= 0] = known.count[often[often >= 0]]
+    pair = trie.second.find(number[word_of], grams.pair & _CONTEXT)
+    alone, weight = trie.alone.get(pair), trie.weight.get(pair)
+    pair_names, pair_counts = known.pair_names()
+    both = _found(pair_names, grams.pair_names())
+    two = np.zeros(len(pair), np.int64)
+    two[both >= 0] = pair_counts[both[both >= 0]]
+    lacks = np.flatnonzero(pair < 0)
+    alone[lacks] = np.log10(a * two[lacks] + m * (one[word_of[lacks]] + 0.5) / known.mass)
+    weight[lacks] = np.log10(a * one[word_of[lacks]] + m)
     # What a frequent pair is as a context was added where the text is, and so was the base of frequent words.
-    score -= np.where((often < 0) & (word != _END), weight, 0.0)
-    rare = frequent_word < 0
+    weight[(both >= 0) | (grams.word[word_of] == _END)] = 0.0
+    value = trie.value.get(trie.third.find(pair[pair_of], grams.triple & _FURTHER))
+    score = np.where(np.isnan(value), alone[pair_of], value) - weight[pair_of]
+    rare = often < 0
     base = np.where(rare, np.log10(one + 0.5) - np.log10(known.mass), 0.0)
-    place = np.repeat(np.arange(len(times)), times)
-    text = (mark & 0x7FFF).astype(np.int64)
-    n = int(text.max()) + 1
-    sums = [np.bincount(text, x[place], n) for x in (score, base, (rare & (one > 0)).astype(float))]
-    some = np.flatnonzero(np.bincount(text, minlength=n))
-    part = np.empty(len(some), _PLACE)
-    part["doc"], part["score"], part["base"], part["known"] = some, sums[0][some], sums[1][some], sums[2][some]
-    return part.tobytes()
+    return score, base[word_of][pair_of], (rare & (one > 0)).astype(float)[word_of][pair_of]
 
 
 _REST = np.dtype([("base", "<f8"), ("score", "<f8"), ("seen", "<i8"), ("tokens", "<i8"), ("doc", "<i8"), ("null", "?"), ("out", "?")])

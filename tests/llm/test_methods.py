@@ -44,8 +44,9 @@ def test_trie_from_a_file(tmp_path):
     config = language_model.ModelConfig()
     names = np.unique(rng.integers(0, 1 << 63, 300).astype(U64))
     word, context, further = names[rng.integers(0, len(names), 4000)], rng.integers(0, 1 << 40, 40)[rng.integers(0, 40, 4000)].astype(U64), rng.integers(0, 5, 4000).astype(U64)
-    count = rng.integers(0, 4, 4000)
-    (tmp_path / "trie").write_bytes(language_model.build(word, context, further, count, known, config).dump())
+    count, single = rng.integers(0, 4, 4000), np.ones(4000, np.int64)
+    grams, at = language_model.Grams.of(word, context, single, further, single)
+    (tmp_path / "trie").write_bytes(language_model.build(grams, np.bincount(at, count).astype(np.int64), known, config).dump())
     trie = eliasfano.Trie.open(str(tmp_path / "trie"))
     one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for w, v, u, c in zip(word.tolist(), context.tolist(), further.tolist(), count.tolist()):
