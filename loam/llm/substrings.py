@@ -47,7 +47,7 @@ class SubstringConfig:
     window: int = 35
     gram: int = 8
     hot: int = 20_000
-    regions_a_shard: int = 12_000
+    regions_a_shard: int = 4_000
 
 
 def _spans(code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
