@@ -174,7 +174,8 @@ def mix(docs: DataFrame, members: Column | None = None, config: MixConfig | None
     low = (1 << config.bits) - 1
     rows = rows.withColumns({"_bin": F.shiftright("_place", 60 - config.bits), "_sub": F.shiftright("_place", 60 - 2 * config.bits).bitwiseAND(F.lit(low))})
     with scratch(spark) as own:
-        histogram = written(rows.groupBy("_members", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
+        sizes_ = written(rows.select("_members", "size", "_place", "_bin", "_sub"), "mix-sizes")
+        histogram = written(sizes_.groupBy("_members", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
         summed = histogram.groupBy("_members").agg(F.sum("_words").alias("n")).limit(config.most_patterns + 1).collect()
         if len(summed) > config.most_patterns:
             raise ValueError(f"more than {config.most_patterns} distinct sets of sources")
@@ -200,15 +201,16 @@ def mix(docs: DataFrame, members: Column | None = None, config: MixConfig | None
             return written(found.select("_k", F.col(at).alias(f"{at}_cut"), F.col("_before").alias(f"{at}_before")), name)
 
         first = cut(planned(histogram), "_bin", F.col("_rest"), "mix-cuts")
-        placed = planned(rows).join(F.broadcast(first), "_k", "left")
+        placed = planned(sizes_).join(F.broadcast(first), "_k")
         finer = placed.where("_bin = _bin_cut and size > 0").groupBy("_k", "_sub").agg(F.sum("size").alias("_words"), F.first(F.col("_rest") - F.col("_bin_before")).alias("_left"))
         second = cut(finer, "_sub", F.col("_left"), "mix-subcuts")
-        placed = placed.join(F.broadcast(second), "_k", "left")
+        placed = placed.join(F.broadcast(second), "_k")
         # Only the documents of that bin's bin are put in order. Rows that agree in id and text stand at one place.
         last = placed.where("_bin = _bin_cut and _sub = _sub_cut and size > 0").groupBy("_k", "_place").agg(F.sum("size").alias("_here"), F.count("*").alias("_same"))
         up_to = F.sum("_here").over(Window.partitionBy("_k").orderBy("_place")) - F.col("_here")
         last = written(last.select("_k", "_place", "_same", up_to.alias("_up_to")), "mix-order")
         own.keep(first, second, last)
+    placed = planned(rows).join(F.broadcast(first), "_k", "left").join(F.broadcast(second), "_k", "left")
     joined = placed.join(last, ["_k", "_place"], "left")
     part = ((F.col("_rest") - F.col("_bin_before") - F.col("_sub_before") - F.col("_up_to")) / F.col("_same")).cast("long")
     ahead = (F.col("_bin") < F.col("_bin_cut")) | ((F.col("_bin") == F.col("_bin_cut")) & (F.col("_sub") < F.col("_sub_cut")))

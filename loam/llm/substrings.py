@@ -62,6 +62,20 @@ def sequences(found: Words) -> np.ndarray:
     return _spans(found.hash, found.first[:-1], found.first[1:]).view(np.int64)
 
 
+def first_least(order: np.ndarray, wide: int) -> np.ndarray:
+    """Place of the first smallest of each `wide` consecutive numbers, from those of half as many."""
+    value, at, size = order, np.arange(len(order)), 1
+
+    def joined(by: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        later = value[by : by + n] < value[:n]
+        return np.where(later, value[by : by + n], value[:n]), np.where(later, at[by : by + n], at[:n])
+
+    while 2 * size <= wide:
+        value, at = joined(size, len(value) - size)
+        size *= 2
+    return joined(wide - size, len(order) - wide + 1)[1]
+
+
 def runs(found: Words, config: SubstringConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window's start in the buffer's words, number of windows, anchor) of each run of windows."""
     size, wide = config.window, config.window - config.gram + 1
@@ -73,8 +87,7 @@ def runs(found: Words, config: SubstringConfig) -> tuple[np.ndarray, np.ndarray,
     start = np.flatnonzero(found.first[text[: len(text) - size + 1] + 1] - np.arange(len(text) - size + 1) >= size)
     if not len(start):
         return none, none, none, none
-    view = np.lib.stride_tricks.sliding_window_view(order, wide)
-    at = start + np.concatenate([view[start[i : i + 65536]].argmin(axis=1) for i in range(0, len(start), 65536)])
+    at = first_least(order, wide)[start]
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
     head = np.flatnonzero(new)
     many = np.diff(np.append(head, len(start)))

@@ -182,6 +182,10 @@ def test_language_model(spark, docs, empty, texts):
     assert language_model.score(empty).count() == 0
 
 
+def spark_rows(docs, rows):
+    return docs.sparkSession.createDataFrame(rows, "doc_id long, text string, source string")
+
+
 def test_mixing(docs, empty, texts):
     rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
     size = {i: len(words(t)) for i, t in texts.items()}
@@ -195,6 +199,11 @@ def test_mixing(docs, empty, texts):
     again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(1)).collect()}
     assert again == {i: r.taken for i, r in rows.items()}
     assert mixing.mix(empty).count() == 0
+    # A source without words keeps its place in the order of weights.
+    ten = " ".join("abcdefghij")
+    few = spark_rows(docs, [(1, ten, "a"), (2, "", "b"), (3, ten[:9], "c"), (3, ten[10:], "c"), (4, ten, "d"), (4, None, "d")])
+    got = {r.source: (r.source_size, r.target) for r in mixing.mix(few).collect()}
+    assert got == {"a": (10, 16.875), "b": (0, 0.0), "c": (10, 11.25), "d": (10, 16.875)}
     both = mixing.mix(docs, F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).collect()
     assert sum(r.taken for r in both) == pytest.approx(1.5 * sum(size.values()), abs=2)
 

@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from loam.llm import eliasfano, fmindex, language_model, licenses, mixing, topk, toxicity, warc, words
+from loam.llm import eliasfano, fmindex, language_model, licenses, mixing, substrings, topk, toxicity, warc, words
 
 U64 = np.uint64
 
@@ -70,6 +70,12 @@ def test_trie_from_a_file(tmp_path):
     assert (trie.second.find(number, context ^ U64(1 << 39)) == -1).all()
 
 
+@pytest.mark.parametrize("wide", [1, 2, 3, 7, 28, 32])
+def test_first_least(wide):
+    order = np.random.default_rng(wide).integers(0, 9, 200).astype(U64)
+    assert substrings.first_least(order, wide).tolist() == [i + int(np.argmin(order[i : i + wide])) for i in range(200 - wide + 1)]
+
+
 def test_fm_index_counts_and_statistics():
     rng = np.random.default_rng(5)
     pieces = [rng.integers(0, 4, rng.integers(1, 30)) for _ in range(40)]
