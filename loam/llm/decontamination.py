@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from .storage import written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def word_list(text: Column) -> Column:
     """Words of the text with A-Z lowered; none for null."""
     low = F.translate(text, _UPPER, _UPPER.lower())
-    return F.coalesce(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    # Splitting takes a tenth of the time that collecting all matches of the words takes.
+    return F.coalesce(F.array_remove(F.split(low, _BETWEEN, -1), ""), F.array().cast("array<string>"))
 
 
 def _shingle(words: Column, at: Column, size: int) -> Column:
@@ -72,7 +72,7 @@ def _counted(docs: DataFrame, shingles: DataFrame, sizes: list[int], most: int)
 
 
 def prefixes(docs: DataFrame, wins: DataFrame, sizes: list[int], most: int) -> DataFrame:
-    """shingle (the rarest of its window), candidates (array of off, win, win_id) in groups of 16 at most."""
+    """shingle (the rarest of its window), candidates (array of off, win) in groups of 16 at most."""
     only = wins.select("win_id", "win").distinct()
     parts = []
     for s in sizes:
@@ -88,15 +88,15 @@ def prefixes(docs: DataFrame, wins: DataFrame, sizes: list[int], most: int) -> D
     rarest = ranked.groupBy("win_id", "win").agg(F.min(F.struct("places", "shingle", "off")).alias("best"))
     rows = rarest.where("best.places > 0").select("best.shingle", "best.off", "win_id", "win")
     part = (F.row_number().over(Window.partitionBy("shingle").orderBy("win_id", "off")) / 16).cast("int")
-    return rows.withColumn("_part", part).groupBy("shingle", "_part").agg(F.collect_list(F.struct("off", "win", "win_id")).alias("candidates")).drop("_part")
+    return rows.withColumn("_part", part).groupBy("shingle", "_part").agg(F.collect_list(F.struct("off", "win")).alias("candidates")).drop("_part")
 
 
 def hits(docs: DataFrame, wins: DataFrame, window: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
-    """_key, start, size, win_id of each place of docs (with a column _key) where a window stands in full."""
+    """_key, start, size, win of each place of docs (with a column _key) where a window stands in full."""
     sizes = sorted(r[0] for r in wins.select(F.least(F.size("win"), F.lit(3))).distinct().collect())
     if not sizes:
         empty = docs.select("_key").where("false")
-        return empty.selectExpr("_key", "0 AS start", "0 AS size", "0L AS win_id")
+        return empty.selectExpr("_key", "0 AS start", "0 AS size", "array('') AS win")
     table = written(prefixes(docs, wins, sizes, broadcast_windows), "decontamination-prefixes")
     small = _small(table, broadcast_windows)
     found = []
@@ -110,7 +110,7 @@ def hits(docs: DataFrame, wins: DataFrame, window: int = 10, broadcast_windows:
             joined = near.join(table.hint("merge"), "shingle")
         pos, base, own = F.col("pos"), F.col("base"), F.col("words")
         stands = F.filter("candidates", lambda c: (pos >= c.off) & F.when(pos >= c.off, F.slice(own, pos - c.off - base + 1, F.size(c.win)) == c.win))  # noqa: B023
-        found.append(joined.select("_key", "pos", F.explode(stands).alias("c")).select("_key", (F.col("pos") - F.col("c.off")).alias("start"), F.size("c.win").alias("size"), "c.win_id"))
+        found.append(joined.select("_key", "pos", F.explode(stands).alias("c")).select("_key", (F.col("pos") - F.col("c.off")).alias("start"), F.size("c.win").alias("size"), "c.win"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -131,11 +131,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     reach = F.max(F.col("start") + F.col("size")).over(Window.partitionBy("_key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.col("start") + F.col("size") - F.greatest("start", F.coalesce(reach, F.lit(0)))
     covered = spans.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("_key").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    items = found.select("_key", "win_id").distinct().join(wins.select("win_id", F.col("item_id").cast("string").alias("item")), "win_id")
+    items = found.select("_key", "win").distinct().join(wins.select("win", F.col("item_id").cast("string").alias("item")), "win")
     items = items.groupBy("_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     told = items.select("_key", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     result = covered.join(told, "_key")
-    size = F.coalesce(F.regexp_count("text", F.lit(_ANY_CASE)), F.lit(0)).cast("long")
+    size = F.size(word_list(F.col("text"))).cast("long")
     joined = rows.select("_key", "doc_id", size.alias("n_words")).join(result, "_key", "left")
     hit = F.coalesce("n_hit", F.lit(0))
     return joined.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (hit > 0).alias("contaminated"))

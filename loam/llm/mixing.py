@@ -43,7 +43,7 @@ class MixConfig:
 
 def n_words(text: Column) -> Column:
     """Number of words [^\\x20\\x09-\\x0D]+; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", -1), "")).cast("long")
 
 
 def targets(sizes: dict[str | None, int], config: MixConfig, total: int | None = None) -> dict[str | None, float]:
