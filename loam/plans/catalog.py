@@ -410,9 +410,9 @@ def retrieve_filtered(spark, sf_dir):
     return found.withColumn("text", F.md5("text"))
 
 
-@query(f"WITH {_BM25}, {_VECTOR}, f AS (SELECT f.*, md5(text) AS text FROM {_rrf_sql(_BOTH, 60)} f JOIN documents ON doc_id = f.id) SELECT query_id, rank, id, score, text FROM f WHERE rank <= 6")
+@query(f"WITH {_BM25}, {_VECTOR}, f AS (SELECT f.*, md5(text) AS text FROM {_rrf_sql(_BOTH, 60)} f JOIN documents ON doc_id = f.id) SELECT query_id, rank, id, score, text FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 6")
 def batch_questions(spark, sf_dir):
-    """All questions at once, six texts each."""
+    """All questions at once, the first six hits that are documents each."""
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("category"))
     vectors, asked = _asked_vectors(spark, sf_dir)
     return retrieval.retrieve(chunks, _questions(spark, sf_dir), vectors, asked).withColumn("text", F.md5("text"))
@@ -429,8 +429,9 @@ def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     return SearchIndex(spark, folder)
 
 
-@query(f"WITH {_BM25} SELECT query_id, rank, id, round(score, 6) AS score FROM keyword")
+@query(f"WITH {_BM25} SELECT query_id, rank, id, round(score, 6) AS score FROM keyword WHERE score > 0")
 def index_keyword(spark, sf_dir):
+    """Hits alone: the index doesn't fill lists up."""
     return _index(spark, sf_dir).keyword(_questions(spark, sf_dir), 30).withColumn("score", F.round("score", 6))
 
 
