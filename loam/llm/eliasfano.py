@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import mmap
 import struct
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 
 U64 = np.uint64
+#: Entries that are looked up at once, each of which takes some twenty numbers of 8 bytes meanwhile.
+BLOCK = 1 << 16
+
+
+def in_blocks(n: int) -> Iterator[slice]:
+    for i in range(0, n, BLOCK):
+        yield slice(i, min(n, i + BLOCK))
 
 
 def _select(blocks: np.ndarray, before: np.ndarray, k: np.ndarray, zero: bool) -> np.ndarray:
@@ -37,11 +46,13 @@ class EliasFano:
         n = len(values)
         low_bytes = min(7, max(0, -(-(bits - max(1, n).bit_length()) // 8)))
         shift = U64(8 * low_bytes)
-        high = (values >> shift).astype(np.int64)
+        high = (values >> shift).view(np.int64)
         flags = np.zeros((n + (int(high[-1]) if n else 0) + 2 + 63) // 64 * 64, bool)
-        flags[high + np.arange(n)] = True
+        high += np.arange(n)
+        flags[high] = True
+        del high
         blocks = np.packbits(flags, bitorder="little").view(U64)
-        low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :low_bytes]
+        low = np.ascontiguousarray(values.astype("<u8", copy=False)).view(np.uint8).reshape(n, 8)[:, :low_bytes]
         return EliasFano(n, low_bytes, np.ascontiguousarray(low), blocks, EliasFano._directory(blocks))
 
     @staticmethod
@@ -153,9 +164,14 @@ class Level:
     def find(self, parent: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Place of each child; -1 if there is none, or no parent (-1)."""
         out = np.full(len(parent), -1)
+        for some in in_blocks(len(parent)):
+            self._find(parent[some], context[some], out[some])
+        return out
+
+    def _find(self, parent: np.ndarray, context: np.ndarray, out: np.ndarray) -> None:
         known = np.flatnonzero(parent >= 0)
         if not len(known) or not self.keys.n:
-            return out
+            return
         node = parent[known]
         begin, end = self.pointers.get(node).astype(np.int64), self.pointers.get(node + 1).astype(np.int64)
         want = (node.astype(U64) << U64(self.bits)) | context[known].astype(U64)
@@ -163,7 +179,6 @@ class Level:
         inside = np.flatnonzero(at < end)
         hit = inside[self.keys.get(at[inside]) == want[inside]]
         out[known[hit]] = at[hit]
-        return out
 
     def dump(self) -> bytes:
         return struct.pack("<Q", self.bits) + self.pointers.dump() + self.keys.dump()
@@ -191,7 +206,18 @@ class Trie:
         return np.where(self.words.get(at) == words, at, -1)
 
     def dump(self) -> bytes:
-        return self.words.dump() + _dump(self.counts) + b"".join(x.dump() for x in (self.second, self.alone, self.weight, self.third, self.value))
+        return b"".join(self._dumps())
+
+    def _dumps(self) -> Iterator[bytes]:
+        yield self.words.dump()
+        yield _dump(self.counts)
+        for x in (self.second, self.alone, self.weight, self.third, self.value):
+            yield x.dump()
+
+    def write(self, file: BinaryIO) -> None:
+        """dump()'s bytes, without holding all of them."""
+        for x in self._dumps():
+            file.write(x)
 
     @staticmethod
     def view(buffer) -> Trie:

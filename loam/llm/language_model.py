@@ -42,9 +42,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .eliasfano import CONTEXT_BITS, FURTHER_BITS, EliasFano, Level, Trie, Values
+from .eliasfano import CONTEXT_BITS, FURTHER_BITS, EliasFano, Level, Trie, Values, in_blocks
 from .storage import scratch, shared, written
-from .words import SPACED_LOWER, U64, give_back, mix, parts, words
+from .words import CHUNK, SPACED_LOWER, U64, give_back, mix, parts, words
 
 _START, _END = U64(0x5354415254), U64(0x454E44)
 _CHUNK, _MOST_DOCS = 3 << 20, 1 << 14
@@ -87,13 +87,21 @@ class _Tokens:
 
 
 def tokens(texts: list[bytes]) -> _Tokens:
-    found = words(texts, SPACED_LOWER)
-    many = np.diff(found.first) + 1
+    hashes, counts = [np.empty(0, U64)], [np.empty(0, np.int64)]
+    end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(end // CHUNK)) + 1):  # words() takes 24 bytes a byte of text
+        if len(part):
+            found = words(texts[part[0] : part[-1] + 1], SPACED_LOWER)
+            hashes.append(found.hash)
+            counts.append(np.diff(found.first) + 1)
+            del found
+    many = np.concatenate(counts)
     stop = np.cumsum(many)
     word = np.full(stop[-1] if len(stop) else 0, _END, U64)
     inner = np.ones(len(word), bool)
     inner[stop - 1] = False
-    word[inner] = found.hash
+    word[inner] = np.concatenate(hashes)
+    del hashes, inner
     before, further = np.full(len(word), _START, U64), np.full(len(word), _START, U64)
     before[1:] = word[:-1]
     before[stop - many] = _START
@@ -259,7 +267,7 @@ def _packed(word: np.ndarray, context: np.ndarray, further: np.ndarray, mark: np
 
 @dataclass
 class _Places:
-    """What _packed() holds: words; words before them, and how many each word has; words before those; times and marks of places."""
+    """What _packed() holds, without a copy: words; words before them, five bytes each, and how many each word has; words before those; times and marks of places."""
 
     word: np.ndarray
     context: np.ndarray
@@ -270,23 +278,42 @@ class _Places:
     mark: np.ndarray
 
 
-def _unpacked(blob: bytes) -> _Places:
+def _unpacked(blob: bytes | pa.Buffer) -> _Places:
     a, b, c, d, size = np.frombuffer(blob, "<i8", 5)
     own = np.frombuffer(blob, "<u8", a, 40)
     further = np.frombuffer(blob, "<u4", c, 40 + 8 * a)
     at = 40 + 8 * a + 4 * c
-    context = np.zeros((b, 8), np.uint8)
-    context[:, :5] = np.frombuffer(blob, np.uint8, b * 5, at).reshape(b, 5)
+    context = np.frombuffer(blob, np.uint8, b * 5, at).reshape(b, 5)
     at += 5 * b
     mark = np.frombuffer(blob, "<u2", d, at)
-    sizes = np.frombuffer(zlib.decompress(blob[at + 2 * d : at + 2 * d + size]), "<u4")
-    return _Places(own, context.view("<u8")[:, 0], sizes[:a], further, sizes[a : a + b], sizes[a + b :].astype(np.int64), mark)
+    sizes = np.frombuffer(zlib.decompress(memoryview(blob)[at + 2 * d : at + 2 * d + size]), "<u4")
+    return _Places(own, context, sizes[:a], further, sizes[a : a + b], sizes[a + b :], mark)
 
 
 _FURTHER = U64((1 << FURTHER_BITS) - 1)
 _CONTEXT = U64((1 << CONTEXT_BITS) - 1)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(x, return_inverse=True), with numbers of four bytes."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    x = x[new]
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return x, at
+
+
+def _below(at: np.ndarray, many: np.ndarray, bits: int, inner: np.ndarray) -> np.ndarray:
+    """Each number of at so many times, in front of inner's bits."""
+    key = np.repeat(at.astype(U64), many)
+    key <<= U64(bits)
+    key |= inner
+    return key
+
+
 @dataclass
 class Grams:
     """Distinct words, pairs and triples of a shard, sorted; a pair is its word's number and the context, a triple its pair's number and the further one."""
@@ -298,9 +325,20 @@ class Grams:
     @staticmethod
     def of(word: np.ndarray, context: np.ndarray, of_word: np.ndarray, further: np.ndarray, of_pair: np.ndarray) -> tuple[Grams, np.ndarray]:
         """The grams, and the number of the triple that each entry of further is."""
-        names, at = np.unique(word, return_inverse=True)
-        pairs, at = np.unique((np.repeat(at, of_word).astype(U64) << U64(CONTEXT_BITS)) | context.astype(U64), return_inverse=True)
-        triples, at = np.unique((np.repeat(at, of_pair).astype(U64) << U64(FURTHER_BITS)) | further.astype(U64), return_inverse=True)
+        names, at = _numbered(word)
+        pairs, at = _numbered(_below(at, of_word, CONTEXT_BITS, context))
+        triples, at = _numbered(_below(at, of_pair, FURTHER_BITS, further))
+        return Grams(names, pairs, triples), at
+
+    @staticmethod
+    def of_places(places: list[_Places]) -> tuple[Grams, np.ndarray]:
+        """The same for all places together; of a level, no more than its entries are held at once."""
+        names, at = _numbered(np.concatenate([x.word for x in places]))
+        context = np.zeros((sum(len(x.context) for x in places), 8), np.uint8)
+        np.concatenate([x.context for x in places], out=context[:, :5])
+        pairs, at = _numbered(_below(at, np.concatenate([x.of_word for x in places]), CONTEXT_BITS, context.view("<u8")[:, 0]))
+        del context
+        triples, at = _numbered(_below(at, np.concatenate([x.of_pair for x in places]), FURTHER_BITS, np.concatenate([x.further for x in places])))
         return Grams(names, pairs, triples), at
 
     @property
@@ -368,11 +406,18 @@ def _sent(docs: DataFrame, known: Frequent, shards: int, config: ModelConfig) ->
 def build(grams: Grams, count: np.ndarray, known: Frequent, config: ModelConfig) -> Trie:
     """The trie of a shard's triples that have training counts (count: each triple's)."""
     three = np.flatnonzero(count)
-    two = np.bincount(grams.pair_of, count, len(grams.pair)).astype(np.int64)
+    two = np.zeros(len(grams.pair), np.int64)
+    for some in in_blocks(len(count)):
+        np.add.at(two, (grams.triple[some] >> U64(FURTHER_BITS)).astype(np.int64), count[some])
     one = np.bincount(grams.word_of, two, len(grams.word)).astype(np.int64)
     pair, own = np.flatnonzero(two), np.flatnonzero(one)
-    new_pair, new_word = np.cumsum(two > 0) - 1, np.cumsum(one > 0) - 1
-    names, of_word, of_pair = grams.word[own], new_word[grams.word_of[pair]], new_pair[grams.pair_of[three]]
+    new_pair, new_word = np.cumsum(two > 0, dtype=np.int32) - np.int32(1), np.cumsum(one > 0, dtype=np.int32) - np.int32(1)
+    further, count = grams.triple[three], count[three]
+    of_pair = new_pair[further >> U64(FURTHER_BITS)]
+    further &= _FURTHER
+    third = Level.of(len(pair), of_pair, further, FURTHER_BITS)
+    del further, three, new_pair
+    names, of_word = grams.word[own], new_word[grams.word_of[pair]]
     one, two = one[own], two[pair]
     number = known.number(names)
     one[number >= 0] = known.count[number[number >= 0]]
@@ -381,31 +426,37 @@ def build(grams: Grams, count: np.ndarray, known: Frequent, config: ModelConfig)
     two[at >= 0] = pair_counts[at[at >= 0]]
     m, a = config.pseudo, config.pair_weight
     alone = a * two + m * (one[of_word] + 0.5) / known.mass
-    weight, value = np.log10(two + a * one[of_word] + m), np.log10(count[three] + alone[of_pair])
+    value = alone[of_pair]
+    value += count
+    value = Values.of(np.log10(value, out=value))
+    weight = Values.of(np.log10(two + a * one[of_word] + m))
     second = Level.of(len(own), of_word, grams.pair[pair] & _CONTEXT, CONTEXT_BITS)
-    third = Level.of(len(pair), of_pair, grams.triple[three] & _FURTHER, FURTHER_BITS)
-    return Trie(EliasFano.of(names, 64), one, second, Values.of(np.log10(alone)), Values.of(weight), third, Values.of(value))
+    return Trie(EliasFano.of(names, 64), one, second, Values.of(np.log10(alone)), weight, third, value)
 
 
 def _scored(table: pa.Table, known: Frequent, config: ModelConfig) -> pa.Table:
     """chunk, kind, data: a shard's partial sums (kind 0) and what passes through (kind 1)."""
     kind, chunk, data = table["kind"].to_numpy(), table["chunk"].to_numpy(), table["data"]
-    places = [(int(chunk[i]), _unpacked(data[int(i)].as_py())) for i in np.flatnonzero(kind == 0)]
+    places = [(int(chunk[i]), _unpacked(data[int(i)].as_buffer())) for i in np.flatnonzero(kind == 0)]
     out = [(int(chunk[i]), 1, data[int(i)].as_py()) for i in np.flatnonzero(kind == 1)]
     if places:
-        grams, at = Grams.of(*(np.concatenate([getattr(x, c) for _, x in places]) for c in ("word", "context", "of_word", "further", "of_pair")))
-        learnt = np.concatenate([np.add.reduceat((x.mark >> 15).astype(np.int64), np.cumsum(x.times) - x.times) for _, x in places])
-        count = np.bincount(at, learnt, len(grams.triple)).astype(np.int64)
+        grams, at = Grams.of_places([x for _, x in places])
+        cut = np.cumsum([0, *(len(x.further) for _, x in places)])
+        count = np.zeros(len(grams.triple), np.int64)
+        for (_, x), i, j in zip(places, cut[:-1], cut[1:], strict=True):
+            np.add.at(count, at[i:j], np.add.reduceat((x.mark >> 15).astype(np.int64), np.cumsum(x.times, dtype=np.int64) - x.times))
         with tempfile.TemporaryDirectory(prefix="loam-trie-") as folder:  # mapped, so its pages can leave memory again
             path = os.path.join(folder, "trie")
             with open(path, "wb") as f:
-                f.write(build(grams, count, known, config).dump())
-            looked = _looked_up(Trie.open(path), grams, known, config)
-        cut = np.cumsum([0, *(len(x.further) for _, x in places)])
+                build(grams, count, known, config).write(f)
+            del count
+            score, word_of, base, seen = _looked_up(Trie.open(path), grams, known, config)
+        del grams
         for (name, x), i, j in zip(places, cut[:-1], cut[1:], strict=True):
             text = (x.mark & 0x7FFF).astype(np.int64)
             n = int(text.max()) + 1
-            sums = [np.bincount(text, np.repeat(v[at[i:j]], x.times), n) for v in looked]
+            word = word_of[at[i:j]]
+            sums = [np.bincount(text, np.repeat(v, x.times), n) for v in (score[at[i:j]], base[word], seen[word])]
             some = np.flatnonzero(np.bincount(text, minlength=n))
             part = np.empty(len(some), _PLACE)
             part["doc"], part["score"], part["base"], part["known"] = some, sums[0][some], sums[1][some], sums[2][some]
@@ -415,29 +466,39 @@ def _scored(table: pa.Table, known: Frequent, config: ModelConfig) -> pa.Table:
     return pa.table({"chunk": pa.array(a, pa.int64()), "kind": pa.array(b, pa.int32()), "data": pa.array(c, pa.binary())})
 
 
-def _looked_up(trie: Trie, grams: Grams, known: Frequent, config: ModelConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What each triple adds to its texts: to the score, to the base score, to the known tokens."""
+def _looked_up(trie: Trie, grams: Grams, known: Frequent, config: ModelConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each triple adds to its texts' score, and its word's number; what each word adds to the base score and to the known tokens."""
     m, a = config.pseudo, config.pair_weight
-    word_of, pair_of = grams.word_of, grams.pair_of
     number, often = trie.find(grams.word), known.number(grams.word)
     one = np.where(number >= 0, trie.counts[number] if trie.words.n else 0, 0)
     one[often >= 0] = known.count[often[often >= 0]]
-    pair = trie.second.find(number[word_of], grams.pair & _CONTEXT)
-    alone, weight = trie.alone.get(pair), trie.weight.get(pair)
     pair_names, pair_counts = known.pair_names()
-    both = _found(pair_names, grams.pair_names())
-    two = np.zeros(len(pair), np.int64)
-    two[both >= 0] = pair_counts[both[both >= 0]]
-    lacks = np.flatnonzero(pair < 0)
-    alone[lacks] = np.log10(a * two[lacks] + m * (one[word_of[lacks]] + 0.5) / known.mass)
-    weight[lacks] = np.log10(a * one[word_of[lacks]] + m)
-    # What a frequent pair is as a context was added where the text is, and so was the base of frequent words.
-    weight[(both >= 0) | (grams.word[word_of] == _END)] = 0.0
-    value = trie.value.get(trie.third.find(pair[pair_of], grams.triple & _FURTHER))
-    score = np.where(np.isnan(value), alone[pair_of], value) - weight[pair_of]
+    pair, word_of = np.empty(len(grams.pair), np.int32), np.empty(len(grams.pair), np.int32)
+    alone, weight = np.empty(len(pair)), np.empty(len(pair))
+    for some in in_blocks(len(pair)):
+        key = grams.pair[some]
+        word = (key >> U64(CONTEXT_BITS)).astype(np.int64)
+        at = trie.second.find(number[word], key & _CONTEXT)
+        more, less = trie.alone.get(at), trie.weight.get(at)
+        both = _found(pair_names, _pair_name(grams.word[word], key & _CONTEXT))
+        two = np.zeros(len(at), np.int64)
+        two[both >= 0] = pair_counts[both[both >= 0]]
+        lacks = np.flatnonzero(at < 0)
+        more[lacks] = np.log10(a * two[lacks] + m * (one[word[lacks]] + 0.5) / known.mass)
+        less[lacks] = np.log10(a * one[word[lacks]] + m)
+        # What a frequent pair is as a context was added where the text is, and so was the base of frequent words.
+        less[(both >= 0) | (grams.word[word] == _END)] = 0.0
+        pair[some], word_of[some], alone[some], weight[some] = at, word, more, less
+    score, of_triple = np.empty(len(grams.triple)), np.empty(len(grams.triple), np.int32)
+    for some in in_blocks(len(score)):
+        key = grams.triple[some]
+        at = (key >> U64(FURTHER_BITS)).astype(np.int64)
+        value = trie.value.get(trie.third.find(pair[at], key & _FURTHER))
+        score[some] = np.where(np.isnan(value), alone[at], value) - weight[at]
+        of_triple[some] = word_of[at]
     rare = often < 0
     base = np.where(rare, np.log10(one + 0.5) - np.log10(known.mass), 0.0)
-    return score, base[word_of][pair_of], (rare & (one > 0)).astype(float)[word_of][pair_of]
+    return score, of_triple, base, (rare & (one > 0)).astype(float)
 
 
 _REST = np.dtype([("base", "<f8"), ("score", "<f8"), ("seen", "<i8"), ("tokens", "<i8"), ("doc", "<i8"), ("null", "?"), ("out", "?")])

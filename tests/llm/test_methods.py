@@ -1,8 +1,10 @@
 """The data structures alone, against plain computations."""
 
 import collections
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loam.llm import eliasfano, fmindex, language_model, licenses, mixing, substrings, topk, toxicity, warc, words
@@ -76,6 +78,45 @@ def test_first_least(wide):
     assert substrings.first_least(order, wide).tolist() == [i + int(np.argmin(order[i : i + wide])) for i in range(200 - wide + 1)]
 
 
+def _shard(places, chunks):
+    """Rows as a shard of the language model gets them: random places, a fifth of them in texts that are held out."""
+    rng, rows = np.random.default_rng(1), []
+    for chunk in range(chunks):
+        word, context, further = (rng.integers(0, n, places // chunks).astype(U64) for n in (3_000, 300, 5_000))
+        word = words.mix(word)
+        order = np.lexsort((further, context, word))
+        text = np.sort(rng.integers(0, 1_000, places // chunks))
+        mark = (text | ((text % 5 > 0).astype(np.int64) << 15)).astype("<u2")
+        rows.append((chunk, 0, language_model._packed(word[order], context[order], further[order], mark[rng.permutation(len(mark))])))
+    return pa.table({"chunk": [r[0] for r in rows], "kind": pa.array([r[1] for r in rows], pa.int32()), "data": [r[2] for r in rows]})
+
+
+def test_memory_of_scoring_a_shard(monkeypatch):
+    none = np.empty(0, np.int64)
+    known, table = language_model.Frequent(5_000_000, 3_000, 1_000, np.empty(0, U64), none, none, none, none, none), _shard(600_000, 10)
+    tracemalloc.start()
+    at_once = language_model._scored(table, known, language_model.ModelConfig())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 * 600_000
+    monkeypatch.setattr(eliasfano, "BLOCK", 1_000)
+    assert language_model._scored(table, known, language_model.ModelConfig()).equals(at_once)
+
+
+def test_tokens_of_much_text_are_those_of_each_text():
+    texts = [b"", b"Aa b " * 150_000, b"", b"c", b"d e " * 400_000, b" ", b"f"]
+    found = language_model.tokens(texts)
+    each = [language_model.tokens([x]) for x in texts]
+    for c in ("word", "before", "further"):
+        assert (getattr(found, c) == np.concatenate([getattr(x, c) for x in each])).all()
+    assert (found.text == np.repeat(np.arange(len(texts)), [len(x.word) for x in each])).all()
+    tracemalloc.start()
+    language_model.tokens([b"word " * 2_000] * 1_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * 10_000_000
+
+
 def test_fm_index_counts_and_statistics():
     rng = np.random.default_rng(5)
     pieces = [rng.integers(0, 4, rng.integers(1, 30)) for _ in range(40)]
